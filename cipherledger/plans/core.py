@@ -45,3 +45,52 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_risk_table": p4_risk_table, "p4_request_table": p4_request_table, "p6_found": p6_found}
+
+_TEXTS = ", ".join(f"coalesce(trim({c}), '') AS {c}" for c in REGISTER_COMPARED.texts)
+_DATES = ", ".join(f"regexp_replace(coalesce(trim({c}), ''), '[T ]00:00:00$', '') AS {c}" for c in REGISTER_COMPARED.dates)
+_SAME = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in [*REGISTER_COMPARED.texts, *REGISTER_COMPARED.paths, *REGISTER_COMPARED.dates, *REGISTER_COMPARED.exact])
+_NEAR = " AND ".join(f"(a.{c} IS NOT DISTINCT FROM b.{c} OR coalesce(abs(a.{c} - b.{c}) < 1e-6, false))" for c in REGISTER_COMPARED.numbers)
+_P2 = f"""
+WITH s AS (SELECT DISTINCT scan_id, installation_id, target_name, created_at FROM scan_summary),
+p AS (SELECT scan_id, lag(scan_id) OVER (PARTITION BY installation_id, target_name ORDER BY created_at, scan_id) AS prev FROM s),
+l AS (SELECT scan_id, max(delivery_no) AS delivery_no FROM artefact_row GROUP BY scan_id),
+r AS (
+  SELECT DISTINCT scan_id, lower(artefact_id) AS artefact_id, {_TEXTS}, {_DATES}, replace(coalesce(trim(location), ''), '\\', '/') AS location,
+         {", ".join([*REGISTER_COMPARED.exact, *REGISTER_COMPARED.numbers])}
+  FROM artefact_row JOIN l USING (scan_id, delivery_no)),
+a AS (SELECT p.scan_id AS later, r.* EXCLUDE (scan_id) FROM r JOIN p USING (scan_id) WHERE prev IS NOT NULL),
+b AS (SELECT p.scan_id AS later, r.* EXCLUDE (scan_id) FROM r JOIN p ON r.scan_id = p.prev)
+SELECT DISTINCT coalesce(a.later, b.later) AS scan_id, coalesce(a.artefact_id, b.artefact_id) AS artefact_id,
+       CASE WHEN b.later IS NULL THEN 'added' WHEN a.later IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+FROM a FULL JOIN b ON a.later = b.later AND a.artefact_id = b.artefact_id
+WHERE a.later IS NULL OR b.later IS NULL OR NOT ({_SAME} AND {_NEAR})
+"""
+
+_P6 = """
+WITH d AS (
+  SELECT scan_id, arg_max(document, received_at) AS doc FROM scan_document WHERE json_valid(document) GROUP BY scan_id),
+o AS (SELECT scan_id, CASE WHEN json_type(doc, '$.result') = 'OBJECT' THEN json_extract(doc, '$.result') ELSE doc::JSON END AS doc FROM d),
+art AS (SELECT scan_id, unnest(json_extract(doc, '$.artefacts[*]')) AS a FROM o),
+occ AS (
+  SELECT scan_id, a->>'$.id' AS artefact_id, CASE json_type(a, '$.occurrences') WHEN 'ARRAY' THEN json_extract(a, '$.occurrences[*]') WHEN 'OBJECT' THEN [a->'$.occurrences'] END AS xs FROM art),
+occ1 AS (SELECT scan_id, artefact_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS pos FROM occ),
+kv AS (
+  SELECT scan_id, a->>'$.id' AS artefact_id, CASE json_type(a, '$.known_vulnerabilities') WHEN 'ARRAY' THEN json_extract(a, '$.known_vulnerabilities[*]') WHEN 'OBJECT' THEN [a->'$.known_vulnerabilities'] END AS xs FROM art),
+kv1 AS (SELECT scan_id, artefact_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS parent_pos FROM kv),
+al AS (
+  SELECT scan_id, artefact_id, parent_pos, CASE json_type(x, '$.aliases') WHEN 'ARRAY' THEN json_extract(x, '$.aliases[*]') WHEN 'VARCHAR' THEN [x->'$.aliases'] END AS xs FROM kv1),
+al1 AS (SELECT scan_id, artefact_id, parent_pos, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS pos FROM al),
+ra AS (
+  SELECT scan_id, unnest(json_extract(doc, '$.risk_assessments[*]')) AS x FROM o WHERE json_type(doc, '$.risk_assessments') = 'ARRAY'
+  UNION ALL SELECT scan_id, unnest(json_extract(doc, '$.risk_assessments.*')) AS x FROM o WHERE json_type(doc, '$.risk_assessments') = 'OBJECT'),
+mv AS (
+  SELECT scan_id, x->>'$.artefact_id' AS artefact_id, CASE json_type(x, '$.model_verdicts') WHEN 'ARRAY' THEN json_extract(x, '$.model_verdicts[*]') WHEN 'OBJECT' THEN [x->'$.model_verdicts'] WHEN 'VARCHAR' THEN json_extract((x->>'$.model_verdicts')::JSON, '$[*]') END AS xs FROM ra),
+mv1 AS (SELECT scan_id, artefact_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS pos FROM mv)
+SELECT * FROM (
+  SELECT scan_id, artefact_id, 'occurrence' AS child, 0::INT AS parent_pos, pos::INT AS pos, CASE json_type(x, '$.location') WHEN 'OBJECT' THEN x->>'$.location.path' ELSE x->>'$.location' END AS value FROM occ1
+  UNION ALL SELECT scan_id, artefact_id, 'alias', parent_pos::INT, pos::INT, x->>'$' FROM al1
+  UNION ALL SELECT scan_id, artefact_id, 'verdict', 0, pos::INT, x->>'$.model' FROM mv1)
+WHERE value IS NOT NULL
+"""
+
+ORACLE_SQL = {"p2_found": _P2, "p6_found": _P6}
