@@ -6,16 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cipherledger.llm.secrets import masked_snippets, secrets_in
 from cipherledger.llm.survivors import survivors
 from cipherledger.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each literal secret of the evidence snippets starts."""
+    return secrets_in(table(spark, sf_dir, "evidence")).select("id", "start_char").distinct()
+
+
+def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evidence snippet with its secrets masked."""
+    return masked_snippets(table(spark, sf_dir, "evidence"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report whose value is kept, for each group of reports of one finding and each field."""
     return survivors(table(spark, sf_dir, "evidence")).select("group_id", "field_name", "survivor_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_masked": p1_masked,
+    "p3_found": p3_found,
+}
 
 _P3 = """
 WITH r AS (
