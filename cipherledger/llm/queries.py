@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cipherledger.llm.code_origin import file_origins
 from cipherledger.llm.secrets import masked_snippets, secrets_in
 from cipherledger.llm.survivors import survivors
 from cipherledger.sources.tables import table
@@ -26,10 +28,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(table(spark, sf_dir, "evidence")).select("group_id", "field_name", "survivor_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that are generated, minified, vendored or data."""
+    return file_origins(table(spark, sf_dir, "source_file")).filter("origin <> 'own'").select("file_id")
+
+
+def p5_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and their share by origin, for each system."""
+    files = table(spark, sf_dir, "source_file").select("file_id", "system_name").distinct()
+    return file_origins(table(spark, sf_dir, "source_file")).join(files, "file_id").groupBy("system_name", "origin").agg(F.count("*").alias("n_files"), F.round(F.avg("shared"), 4).alias("mean_shared"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_masked": p1_masked,
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_origins": p5_origins,
 }
 
 _P3 = """
