@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherledger.llm.code_origin import file_origins
+from cipherledger.llm.contamination import leaks, without_leaks
 from cipherledger.llm.secrets import masked_snippets, secrets_in
 from cipherledger.llm.survivors import survivors
 from cipherledger.sources.tables import table
@@ -39,12 +40,31 @@ def p5_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_origins(table(spark, sf_dir, "source_file")).join(files, "file_id").groupBy("system_name", "origin").agg(F.count("*").alias("n_files"), F.round(F.avg("shared"), 4).alias("mean_shared"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each leaked item: documents that hold it and the longest stretch."""
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("words").alias("longest"))
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a leaked passage."""
+    return without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "lang", "source", "project")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_masked": p1_masked,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_origins": p5_origins,
+    "p7_found": p7_found,
+    "p7_items": p7_items,
+    "p7_clean": p7_clean,
 }
 
 _P3 = """
