@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cipherledger.llm.code_origin import file_origins
 from cipherledger.llm.contamination import leaks, without_leaks
+from cipherledger.llm.mixing import mix_sources, mixture_report
 from cipherledger.llm.secrets import masked_snippets, secrets_in
 from cipherledger.llm.survivors import survivors
 from cipherledger.sources.tables import table
@@ -56,6 +57,17 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "lang", "source", "project")
 
 
+def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture, in the order in which the sources are served."""
+    selection, _, _ = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))
+    return selection
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all tokens that each source reaches beside its target."""
+    return mixture_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_masked": p1_masked,
@@ -65,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p7_clean": p7_clean,
+    "p8_selection": p8_selection,
+    "p8_shares": p8_shares,
 }
 
 _P3 = """
