@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cipherledger.llm.code_origin import file_origins
 from cipherledger.llm.contamination import leaks, without_leaks
 from cipherledger.llm.mixing import mix_sources, mixture_report
+from cipherledger.llm.reading import reading_levels, train
 from cipherledger.llm.secrets import masked_snippets, secrets_in
 from cipherledger.llm.survivors import survivors
 from cipherledger.sources.tables import table
@@ -68,6 +69,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading level of every English document with enough prose."""
+    documents = table(spark, sf_dir, "documents")
+    return reading_levels(documents, train(documents, table(spark, sf_dir, "reading_label"))).select("doc_id", "reading_level")
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents and their words by source and reading level."""
+    documents = table(spark, sf_dir, "documents")
+    levels = reading_levels(documents, train(documents, table(spark, sf_dir, "reading_label")))
+    sources = documents.select("doc_id", "source").distinct()
+    return levels.join(sources, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("n_docs"), F.sum("words").alias("n_words"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_masked": p1_masked,
@@ -79,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_clean": p7_clean,
     "p8_selection": p8_selection,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_profile": p9_profile,
 }
 
 _P3 = """
