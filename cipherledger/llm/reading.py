@@ -191,11 +191,11 @@ def _hash_order(c: Column) -> Column:
     return F.xxhash64(c)
 
 
-def train(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS, known_words: int = KNOWN_WORDS) -> ReadingModel:
+def train(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS, known_words: int = KNOWN_WORDS) -> ReadingModel | None:
     """The model of these documents: counts over all of them, regression over at most fit_documents graded ones.
 
-    labels: doc_id, reading_level. Several raters count by their mean, rounded to the level of the
-    smaller error; levels outside 1 to LEVELS and graded documents without enough English prose are left out.
+    labels: doc_id, reading_level. Several raters count by their mean, a half rounded down; levels outside 1 to LEVELS and graded documents without enough English prose are left out.
+    Without any graded document there is no model: None.
     """
     counts = word_counts(documents)
     top = counts.orderBy(F.desc("n"), "word").limit(known_words).collect()
@@ -214,21 +214,22 @@ def train(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCU
             texts.append(text)
             y.append(r.level)
     if not docs:
-        raise ValueError("no graded English document with enough prose")
+        return None
     return fit_model(docs, texts, np.array(y), rarity, rarest)
 
 
-def reading_levels(documents: DataFrame, model: ReadingModel) -> DataFrame:
+def reading_levels(documents: DataFrame, model: ReadingModel | None) -> DataFrame:
     """doc_id, reading_level, words of every English document with LEAST_WORDS or more words of prose.
 
     Whole texts are read. Null, empty and other-language texts have no row; the language is taken from
-    lang where given, else found from the text. Repeated rows give one row for each doc_id.
+    lang where given, else found from the text. Repeated rows give one row for each doc_id. Without a
+    model no document has a level.
     """
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
-        for batch in batches:
+        for batch in batches if m else ():
             ids, sizes, x = [], [], []
             for doc_id, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"]):
                 if not is_english(text, lang):
