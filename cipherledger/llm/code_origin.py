@@ -153,7 +153,7 @@ TRAITS = (
     "name_chars double, generated_mark boolean, vendor_mark boolean, minified_mark boolean, config boolean, sheet boolean, n_lines int, rules array<struct<rule: long, lines: int>>"
 )
 #: A shared rule must cover so many lines to count: shorter ones are idioms.
-LEAST_LINES = 8
+LEAST_LINES = 6
 
 
 def file_table(files: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def file_table(files: DataFrame) -> DataFrame:
     return traits.groupBy("file_id").agg(F.max(F.struct(*names)).alias("t")).select("file_id", "t.*")
 
 
-def file_origins(files: DataFrame, shared_share: float = 0.5) -> DataFrame:
+def file_origins(files: DataFrame, shared_share: float = 0.4) -> DataFrame:
     """file_id, origin, shared: each file with content, origin being generated, minified, vendored, data or own.
 
     shared is the share of the file's lines under rules that occur in two or more repositories
