@@ -22,6 +22,7 @@ QUESTION = re.compile(r"\bquestion\s*:", re.I)
 SENTENCE = re.compile(r"(?<=[.?!])\s+|\n\s*\n")
 N = 5  #: words of a seed; of twenty words with two altered or left out six seeds stay whole
 LEAST = 20  #: words of a passage in succession
+MANY = 5  #: items that share a sentence of an instruction, however long it is
 BAND = 6  #: words left out or put in, within one stretch
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -35,7 +36,8 @@ def passages_of(items: list[tuple[int, str]]) -> list[tuple[list[str], np.ndarra
     """(words, number of each word when compounds count once, item ids) of each distinct passage.
 
     What follows the question mark-up is cut off. A sentence that two items share, while they share
-    nothing else, is an instruction; the sentences without instructions are the passage.
+    nothing else, is an instruction if it is shorter than a stretch that leaks or MANY items have it;
+    the sentences without instructions are the passage.
     """
     cut = {i: [s for s in SENTENCE.split(QUESTION.split(text or "")[0]) if words(s)] for i, text in items}
     keys = {i: [" ".join(words(s)) for s in parts] for i, parts in cut.items()}
@@ -43,9 +45,10 @@ def passages_of(items: list[tuple[int, str]]) -> list[tuple[list[str], np.ndarra
     for i, parts in keys.items():
         for k in set(parts):
             having.setdefault(k, []).append(i)
-    told = {k for k, ids in having.items() if any(not (set(keys[ids[0]]) & set(keys[i])) - {k} for i in ids[1:])}
+    short = {k: ids for k, ids in having.items() if len(k.split()) < LEAST or len(ids) >= MANY}
+    told = {k for k, ids in short.items() if any(not (set(keys[ids[0]]) & set(keys[i])) - {k} for i in ids[1:])}
     # instructions may come in pairs: without the known ones, look again
-    told |= {k for k, ids in having.items() if any(not (set(keys[ids[0]]) & set(keys[i])) - {k} - told for i in ids[1:])}
+    told |= {k for k, ids in short.items() if any(not (set(keys[ids[0]]) & set(keys[i])) - {k} - told for i in ids[1:])}
     out: dict[str, tuple[np.ndarray, list[int]]] = {}
     for i, parts in cut.items():
         kept = [s for s, k in zip(parts, keys[i]) if k not in told]
