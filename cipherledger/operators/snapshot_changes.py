@@ -57,9 +57,8 @@ def consecutive_scans(scans: DataFrame) -> DataFrame:
 
 
 def last_delivery(rows: DataFrame) -> DataFrame:
-    """The rows of each scan's highest delivery_no: a later delivery replaces an earlier one whole."""
-    last = rows.groupBy("scan_id").agg(F.max("delivery_no").alias("delivery_no"))
-    return salted_join(rows, last, ["scan_id", "delivery_no"])
+    """scan_id, delivery_no: each scan's highest delivery_no; a later delivery replaces an earlier one whole."""
+    return rows.groupBy("scan_id").agg(F.max("delivery_no").alias("delivery_no"))
 
 
 def snapshot_changes(rows: DataFrame, scans: DataFrame, key: str, compared: Compared) -> DataFrame:
@@ -80,8 +79,9 @@ def snapshot_changes(rows: DataFrame, scans: DataFrame, key: str, compared: Comp
 
     records = rows.select("scan_id", "delivery_no", "delivered_at", F.lower(trimmed(F.col(key))).alias("key"), compared.packed().alias("row")).filter(F.col("key") != "")
     newest = Window.partitionBy("scan_id", "key").orderBy(F.col("delivered_at").desc_nulls_last(), F.col("row").desc())
-    once = last_delivery(records).withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
-    sided = salted_join(once, roles, ["scan_id"]).select(F.explode("roles").alias("_role"), "key", "row").select("_role.*", "key", "row")
+    counted = salted_join(records, last_delivery(rows).join(roles, "scan_id"), ["scan_id", "delivery_no"])
+    once = counted.withColumn("_n", F.row_number().over(newest)).filter("_n = 1")
+    sided = once.select(F.explode("roles").alias("_role"), "key", "row").select("_role.*", "key", "row")
 
     # EXCEPT ALL in both directions in one pass: identical rows of the two sides cancel
     residue = sided.groupBy("later", "key", "row").agg(F.sum("side").alias("side")).filter("side <> 0")
