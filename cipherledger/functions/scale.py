@@ -51,6 +51,15 @@ def previous_in_series(df: DataFrame, series: list[str], when: Column, tie: str,
     return joined.select(*[F.col(c) for c in df.columns], *[before[c].alias(prefix + c) for c in take])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows moved to all cores where a scan has splits for less than half of them, as with one small file.
+
+    A larger input has more splits than that and stays where it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder that spark.checkpoint.dir names; a local folder only where none is set (tests)."""
     context = df.sparkSession.sparkContext
