@@ -47,3 +47,54 @@ def scan_children(documents: DataFrame) -> DataFrame:
     verdicts = children(["risk_assessments.model_verdicts.", "risk_assessments.model_verdicts.model"], 2, "verdict", zero, e2)
     both = of_artefacts.join(ids, ["key", "e1"]).unionByName(verdicts.join(filed, ["key", "e1"]))
     return both.select(F.col("key").alias("scan_id"), "artefact_id", "child", "parent_pos", "pos", "value")
+
+
+REGISTER_SHAPE = {
+    "summary": {"target_name": None},
+    "artefacts": [
+        {
+            "id": None,
+            "name": None,
+            "type": None,
+            "algorithm_family": None,
+            "target_type": None,
+            "location": None,
+            "classification": {"algorithm_class": None, "quantum_vulnerability": None},
+            "known_vulnerabilities": [{"id": None, "severity": None}],
+        }
+    ],
+    "risk_assessments": {"*": {"artefact_id": None, "risk_category": None, "shelf_life_x": None, "migration_time_y": None, "is_overdue": None, "binding_model": None}},
+}
+_ARTEFACT = ["id", "name", "type", "algorithm_family", "target_type", "location", "classification.algorithm_class", "classification.quantum_vulnerability"]
+_RISK = ["artefact_id", "risk_category", "shelf_life_x", "migration_time_y", "is_overdue", "binding_model"]
+# Ranks of an advisory's severity.
+SEVERITIES = ["critical", "high", "moderate", "low"]
+
+
+def _objects(leaves: DataFrame, prefix: str, names: list[str]) -> DataFrame:
+    """key, e1 and one column for each named leaf of the elements under `prefix`."""
+    own = leaves.filter(F.col("path").isin([f"{prefix}.{n}" for n in names]) & (F.col("def") >= 1))
+    return own.groupBy("key", "e1").agg(*[F.max(F.when(F.col("path") == f"{prefix}.{n}", F.col("value"))).alias(n.rpartition(".")[2]) for n in names], F.max("map_key").alias("map_key"))
+
+
+def register_rows(documents: DataFrame) -> DataFrame:
+    """Register rows of each scan's last readable document: artefacts with their assessment, where there is one.
+
+    worst_severity is the worst of the artefact's advisories, null without any. An assessment is filed under its
+    map key, else its artefact_id; of several for one artefact the larger values count. Artefacts without an id
+    keep their row; missing overdue marks are false.
+    """
+    leaves = elements(shred(last_readable(documents, "scan_id", "received_at", "document"), "scan_id", "document", REGISTER_SHAPE, wrapper="result"), 2)
+    assets = _objects(leaves, "artefacts", _ARTEFACT).drop("map_key")
+    risks = _objects(leaves, "risk_assessments", _RISK)
+    risks = risks.withColumn("id", F.coalesce("map_key", "artefact_id")).filter("id is not null")
+    risks = risks.groupBy("key", "id").agg(*[F.max(c).alias(c) for c in _RISK[1:]])
+    severity = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.when(F.lower("value") == "medium", "moderate").otherwise(F.lower("value")))
+    advisories = leaves.filter((F.col("path") == "artefacts.known_vulnerabilities.severity") & (F.col("def") >= 2)).groupBy("key", "e1").agg(F.count("*").alias("advisories"), F.min(F.when(severity > 0, severity)).alias("worst"))
+    names = leaves.filter("path = 'summary.target_name'").select("key", F.col("value").alias("system_name"))
+    out = assets.join(risks, ["key", "id"], "left").join(advisories, ["key", "e1"], "left").join(names, "key", "left")
+    return out.select(
+        F.col("key").alias("scan_id"), F.coalesce("system_name", F.lit("Unknown system")).alias("system_name"), F.col("id").alias("artefact_id"), "name", "type", "algorithm_family", "algorithm_class", "quantum_vulnerability", "target_type", "location",
+        F.coalesce("advisories", F.lit(0)).cast("int").alias("known_vulnerability_count"), F.get(F.array(*map(F.lit, SEVERITIES)), F.col("worst").cast("int") - 1).alias("worst_severity"),
+        "risk_category", F.col("shelf_life_x").try_cast("double").alias("shelf_life_x"), F.col("migration_time_y").try_cast("double").alias("migration_time_y"), F.coalesce(F.col("is_overdue") == "true", F.lit(False)).alias("is_overdue"), "binding_model",
+    )
