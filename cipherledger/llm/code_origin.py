@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherledger.functions.scale import cut_lineage, salted_join
+from cipherledger.functions.scale import cut_lineage, salted_join, spread
 from cipherledger.functions.text import plain_path
 
 TOKEN = re.compile(r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`]*`)|(0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|([A-Za-z_$][\w$]*)|([^\s\w])""")
@@ -176,7 +176,7 @@ def file_table(files: DataFrame) -> DataFrame:
 
     empty = F.lit("")
     rows = files.filter(F.col("file_id").isNotNull() & (F.length("content") > 0)).select(F.col("file_id").cast("long"), F.coalesce("system_name", empty).alias("repo"), plain_path(F.coalesce("file_path", empty)).alias("path"), "content")
-    traits = rows.mapInPandas(inspect, TRAITS)
+    traits = spread(rows).mapInPandas(inspect, TRAITS)
     names = [c for c in traits.columns if c != "file_id"]
     return traits.groupBy("file_id").agg(F.max(F.struct(*names)).alias("t")).select("file_id", "t.*")
 

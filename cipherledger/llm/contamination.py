@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cipherledger.functions.scale import spread
+
 WORD = re.compile(r"[^\W_]+")
 #: Markup that stands for no word: tags and entities.
 MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&[a-z]{2,8};|&#\d{1,6};")
@@ -237,7 +239,7 @@ def leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS
                         rows += [(ids[t], item, span, errors, max(0, place)) for item in index.items[k]]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "errors", "at_word"])
 
-        found = documents.filter("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long"), "text").mapInPandas(scan, LEAKS)
+        found = spread(documents.filter("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long"), "text")).mapInPandas(scan, LEAKS)
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("words", (-F.col("errors")).alias("e"), (-F.col("at_word")).alias("w"))).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.words").alias("words"), (-F.col("b.e")).alias("errors"), (-F.col("b.w")).alias("at_word"))

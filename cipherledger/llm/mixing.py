@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cipherledger.functions.scale import cut_lineage, salted_join
+from cipherledger.functions.scale import cut_lineage, salted_join, spread
 
 #: Default place of the tokenizer's ranks; always a parameter, never copied into the library.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -37,7 +37,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             batch["tokens"] = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.pop("text")]
             yield batch
 
-    return documents.select(F.col("doc_id").cast("long"), "source", "text").mapInPandas(count, "doc_id long, source string, tokens long")
+    return spread(documents.select(F.col("doc_id").cast("long"), "source", "text")).mapInPandas(count, "doc_id long, source string, tokens long")
 
 
 def _ranges(rows: int) -> int:

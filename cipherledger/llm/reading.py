@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cipherledger.functions.scale import spread
+
 LEVELS = 4
 #: Graded documents that the regression is fitted to, at most (those with the smallest hash of their id).
 FIT_DOCUMENTS = 3000
@@ -30,9 +32,10 @@ SENTENCE_END = re.compile(r"[.!?](?:\s|$)")
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|-----BEGIN [^-]+-----.*?(?:-----END [^-]+-----|\n\s*\n|\Z)", re.S)
 TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 BULLET = re.compile(r"^\s*(?:[-*+>•]|\d+[.)])\s+")
+BLANK = re.compile(r"\n\s*\n")
 HEADING = re.compile(r"^\s*(?:#{1,6}\s|=+\s|<h\d)")
 # Page furniture, connectives, words that open a clause, frequent words of four languages.
-FOOTER = re.compile(r"for internal distribution only|do not forward outside|you are receiving this (?:notice|mail|message)|this page was (?:reviewed|last)|contact the service desk|unless stated otherwise, dates refer|all rights reserved|^confidential\.?$|^copyright ", re.I)
+FOOTERS = ["for internal distribution only", "do not forward outside", "you are receiving this", "this page was reviewed", "this page was last", "contact the service desk", "unless stated otherwise, dates refer", "all rights reserved", "confidential."]
 CONNECTIVES = frozenset("however therefore nevertheless accordingly consequently thus hence moreover furthermore notwithstanding insofar albeit thereby whereas although because unless while if when before after since then so but and".split())
 CLAUSES = frozenset("which that who whose whom whether where when while because although unless if since as until before after insofar whereas albeit upon".split())
 FREQUENT = {
@@ -54,17 +57,28 @@ def is_english(text: str, lang: str | None) -> bool:
 
 def prose(text: str) -> str:
     """The text without code, tables, headings, footers and markup."""
+    if "```" in text or "~~~" in text or "-----BEGIN" in text:
+        text = FENCE.sub("\n\n", text)
+    low = text.lower()
+    footers = [f for f in FOOTERS if f in low]
     kept = []
-    for block in re.split(r"\n\s*\n", FENCE.sub("\n\n", text)):
+    for block in BLANK.split(text):
         lines = []
         for line in block.split("\n"):
-            if line.count("|") >= 2 or HEADING.match(line) or FOOTER.search(line.strip()):
+            line = line.strip()
+            if not line or line.count("|") >= 2:
+                continue
+            first = line[0]
+            if first in "#=<" and HEADING.match(line) or footers and any(f in line.lower() for f in footers):
                 continue
-            line = TAG.sub(" ", BULLET.sub("", line)).strip()
+            if first in "-*+>•0123456789":
+                line = BULLET.sub("", line)
+            if "<" in line:
+                line = TAG.sub(" ", line).strip()
             if line:
                 lines.append(line)
         part = " ".join(lines)
-        if len(part.split()) > 6 or re.search(r"[.!?;,]$", part):  # else a title
+        if part and (part[-1] in ".!?;," or len(part.split()) > 6):  # else a title
             kept.append(part)
     return "\n".join(kept)
 
@@ -77,7 +91,7 @@ def features(words: list[str], text: str, rarity: dict[str, float], rarest: floa
     chars = sum(len(w) * c for w, c in counts.items())
     long = sum(c for w, c in counts.items() if len(w) >= 9)
     window = 50  # moving windows keep diversity comparable between lengths
-    spans = range(0, max(1, n - window + 1), 25)
+    spans = range(0, max(1, n - window + 1), 50)
     diverse = sum(len(set(words[i : i + window])) / min(window, n) for i in spans) / len(spans)
     rare = sum(rarity.get(w, rarest) * c for w, c in counts.items()) / n
     known = [(grade[w], c) for w, c in counts.items() if w in grade]
@@ -184,7 +198,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
                 held = Counter()
         yield pd.DataFrame(list(held.items()), columns=["word", "n"])
 
-    return _english_prose(documents).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(_english_prose(documents)).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _hash_order(c: Column) -> Column:
@@ -243,4 +257,4 @@ def reading_levels(documents: DataFrame, model: ReadingModel | None) -> DataFram
             levels = m.levels(np.array(x)) if x else []
             yield pd.DataFrame({"doc_id": ids, "reading_level": levels, "words": sizes})
 
-    return _english_prose(documents).mapInPandas(grade, "doc_id long, reading_level int, words int").groupBy("doc_id").agg(F.min("reading_level").alias("reading_level"), F.max("words").alias("words"))
+    return spread(_english_prose(documents)).mapInPandas(grade, "doc_id long, reading_level int, words int").groupBy("doc_id").agg(F.min("reading_level").alias("reading_level"), F.max("words").alias("words"))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cipherledger.functions.scale import spread
+
 # What the automaton looks for, in lower case.
 KEYWORDS = [
     "pass", "pwd", "_pw", "pw=", "pw:", "pw\"", "pw'", "pw ", "secret", "token", "apikey", "api_key", "api-key", "key", "kennwort", "clave", "contrase",
@@ -232,7 +234,7 @@ def secrets_in(evidence: DataFrame, key: str = "id", text: str = "snippet") -> D
                         rows += [(k, start, end, kind, masked) for start, end, kind in spans]
             yield pd.DataFrame(rows, columns=["id", "start_char", "end_char", "kind", "masked"])
 
-    return evidence.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(scan, FINDINGS).dropDuplicates()
+    return spread(evidence.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))).mapInPandas(scan, FINDINGS).dropDuplicates()
 
 
 def masked_snippets(evidence: DataFrame, key: str = "id", text: str = "snippet") -> DataFrame:
@@ -243,4 +245,4 @@ def masked_snippets(evidence: DataFrame, key: str = "id", text: str = "snippet")
             batch["masked"] = [mask(t, find_secrets(t)) if t else t for t in batch["masked"]]
             yield batch
 
-    return evidence.select(F.col(key).cast("string").alias("id"), F.col(text).alias("masked")).mapInPandas(scan, "id string, masked string")
+    return spread(evidence.select(F.col(key).cast("string").alias("id"), F.col(text).alias("masked"))).mapInPandas(scan, "id string, masked string")
