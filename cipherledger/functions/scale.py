@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Ways in which the rows of one key are spread when a dimension is joined without a broadcast.
@@ -60,10 +61,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder that spark.checkpoint.dir names; a local folder only where none is set (tests)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below the one that spark.checkpoint.dir names, which all executors share; a local one only where none is set (tests)."""
+    return f"{_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() in the shared folder that spark.checkpoint.dir names."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
