@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cipherledger.functions.text import plain_path
+
 # Marks of each family in order, and the family's name and class.
 FAMILIES: list[tuple[str, list[str], str, str]] = [
     ("rsa", ["RSA"], "RSA", "asymmetric_factoring"),
@@ -166,27 +168,19 @@ def merge_scans(assets: DataFrame) -> DataFrame:
     )
 
 
-# --- nearest reading above: dataflow findings bound to the evidence they refine
-
-
 def nearest_above(evidence: DataFrame, tolerance: int = 6) -> DataFrame:
     """finding_id, target_id, distance: dataflow findings and the record at or above them, within `tolerance` lines.
 
     Findings are records whose detector names taint; targets are other source_code records of the same scan and
-    file (slashes alike) whose key length is not bound. On one line the smallest id counts. A backward as-of join: both kinds are ordered by line
-    in one window of a file's records, and the last target before a finding is carried along. Findings without a
-    target near enough have no row; records without a line number take no part.
+    file (slashes alike) whose key length is not bound; on one line the smallest id counts. A backward as-of join
+    by blocks of lines: a target is offered to its own block and the next one, so a finding meets its block's
+    targets only, of which there are at most two blocks of lines, however many records the file has. Findings
+    without a target near enough have no row; records without a line number take no part.
     """
-    from pyspark.sql import Window
-
-    from cipherledger.functions.text import plain_path
-
     e = evidence.filter("line_number is not null and target_type = 'source_code'").select("id", "scan_id", plain_path(F.col("file_path")).alias("path"), "line_number", "key_length", F.contains(F.coalesce(F.col("metadata.detector"), F.lit("")), F.lit("taint")).alias("finding")).dropDuplicates(["id"])
-    # of the targets on one line only the smallest id is a candidate, so a line is a row
-    target = F.when(~F.col("finding") & F.col("key_length").isNull(), F.struct("line_number", "id"))
-    lines = e.groupBy("scan_id", "path", "line_number").agg(F.min(target).alias("target"))
-    run = Window.partitionBy("scan_id", "path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = lines.withColumn("target", F.last("target", ignorenulls=True).over(run)).select("scan_id", "path", "line_number", "target")
-    found = e.filter("finding").join(carried, ["scan_id", "path", "line_number"])
-    near = (F.col("line_number") - F.col("target.line_number")).alias("distance")
-    return found.select(F.col("id").alias("finding_id"), F.col("target.id").alias("target_id"), near).filter(F.col("distance") <= tolerance)
+    block = F.floor(F.col("line_number") / (tolerance + 1))
+    targets = e.filter(~F.col("finding") & F.col("key_length").isNull()).groupBy("scan_id", "path", "line_number").agg(F.min("id").alias("target_id"))
+    offered = targets.select("scan_id", "path", F.col("line_number").alias("at"), "target_id", F.explode(F.array(block, block + 1)).alias("block"))
+    met = e.filter("finding").withColumn("block", block).join(offered, ["scan_id", "path", "block"]).withColumn("distance", F.col("line_number") - F.col("at"))
+    nearest = met.filter(F.col("distance").between(0, tolerance)).groupBy("id").agg(F.min(F.struct("distance", "target_id")).alias("t"))
+    return nearest.select(F.col("id").alias("finding_id"), F.col("t.target_id").alias("target_id"), F.col("t.distance").alias("distance"))

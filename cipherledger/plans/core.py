@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cipherledger.operators.scan_documents import scan_children
-from cipherledger.operators.schema_drift import drift, typed_table
+from cipherledger.operators.schema_drift import FIELDS, OTHER_NAMES, drift, typed_table
 from cipherledger.operators.snapshot_changes import Compared, snapshot_changes
 from cipherledger.sources.tables import table
 
@@ -93,4 +93,30 @@ SELECT * FROM (
 WHERE value IS NOT NULL
 """
 
-ORACLE_SQL = {"p2_found": _P2, "p6_found": _P6}
+_NAMED = " ".join(
+    f"WHEN entity = '{e}' AND plain IN ({', '.join(repr(x.replace('_', '')) for x in [f, *OTHER_NAMES[e].get(f, [])])}) THEN '{f}'" for e, fields in FIELDS.items() for f in fields
+)
+_P4 = f"""
+WITH r AS (SELECT DISTINCT feed_name, file_name, entity, exported_at, line_no, payload::JSON AS doc FROM raw_record WHERE json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT'),
+files AS (SELECT file_name, min(feed_name) AS feed_name, min(exported_at) AS exported_at, count(DISTINCT line_no) AS n_records FROM r GROUP BY file_name),
+steps AS (SELECT *, lag(file_name) OVER (PARTITION BY feed_name ORDER BY exported_at, file_name) AS prev FROM files),
+k AS (SELECT file_name, entity, doc, unnest(json_keys(doc)) AS name FROM r),
+e AS (SELECT *, lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) AS plain, json_type(doc, '$."' || name || '"') AS t FROM k),
+g AS (
+  SELECT file_name, name, CASE {_NAMED} ELSE name END AS field,
+    CASE WHEN t = 'VARCHAR' THEN 'text' WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t = 'OBJECT' THEN 'object' WHEN t = 'ARRAY' THEN 'list' WHEN t = 'NULL' THEN 'null' ELSE 'number' END AS kind FROM e),
+nm AS (SELECT file_name, field, name, count(*) AS n FROM g GROUP BY ALL),
+kd AS (SELECT file_name, field, kind, count(*) AS n FROM g WHERE kind <> 'null' GROUP BY ALL),
+f AS (
+  SELECT nm.file_name, nm.field, (array_agg(name ORDER BY n DESC, name))[1] AS name, (SELECT (array_agg(kind ORDER BY kd.n DESC, kind))[1] FROM kd WHERE kd.file_name = nm.file_name AND kd.field = nm.field) AS kind
+  FROM nm JOIN files USING (file_name) GROUP BY nm.file_name, nm.field, n_records HAVING 2 * sum(n) >= n_records),
+a AS (SELECT f.* FROM f JOIN steps USING (file_name) WHERE prev IS NOT NULL),
+b AS (SELECT steps.file_name, f.field, f.name, f.kind FROM f JOIN steps ON f.file_name = steps.prev),
+c AS (SELECT coalesce(a.file_name, b.file_name) AS file_name, coalesce(a.field, b.field) AS field_name, a.name AS an, b.name AS bn, a.kind AS ak, b.kind AS bk FROM a FULL JOIN b ON a.file_name = b.file_name AND a.field = b.field)
+SELECT file_name, field_name, 'added' AS change_kind FROM c WHERE bn IS NULL
+UNION ALL SELECT file_name, field_name, 'removed' FROM c WHERE an IS NULL
+UNION ALL SELECT file_name, field_name, 'renamed' FROM c WHERE an <> bn
+UNION ALL SELECT file_name, field_name, 'retyped' FROM c WHERE ak <> bk
+"""
+
+ORACLE_SQL = {"p2_found": _P2, "p4_found": _P4, "p6_found": _P6}
