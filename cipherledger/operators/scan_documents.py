@@ -98,3 +98,46 @@ def register_rows(documents: DataFrame) -> DataFrame:
         F.coalesce("advisories", F.lit(0)).cast("int").alias("known_vulnerability_count"), F.get(F.array(*map(F.lit, SEVERITIES)), F.col("worst").cast("int") - 1).alias("worst_severity"),
         "risk_category", F.col("shelf_life_x").try_cast("double").alias("shelf_life_x"), F.col("migration_time_y").try_cast("double").alias("migration_time_y"), F.coalesce(F.col("is_overdue") == "true", F.lit(False)).alias("is_overdue"), "binding_model",
     )
+
+
+TABLES_SHAPE = {
+    "artefacts": [
+        {
+            "id": None,
+            "occurrences": [{"line_number": None, "snippet": None, **_LOCATION}],
+            "known_vulnerabilities": [{"id": None, "severity": None, "fixed_version": None}],
+        }
+    ],
+    "risk_assessments": {"*": {"artefact_id": None, "model_verdicts": [{"model": None, "at_risk": None, "slack_years": None, "must_start_by": None, "probability": {"low": None, "high": None}}]}},
+}
+
+
+def _elements_of(leaves: DataFrame, prefix: str, names: dict[str, list[str]]) -> DataFrame:
+    """key, e1, pos and one column for each name (from the first of its leaf paths that has a value) of the elements at `prefix`."""
+    paths = {f"{prefix}{p}": name for name, ps in names.items() for p in ps}
+    own = leaves.filter(F.col("path").isin(list(paths)) & (F.col("def") >= 2))
+    columns = [F.coalesce(*[F.max(F.when(F.col("path") == f"{prefix}{p}", F.col("value"))) for p in ps]).alias(name) for name, ps in names.items()]
+    return own.groupBy("key", "e1", F.col("e2").alias("pos")).agg(*columns)
+
+
+def scan_tables(documents: DataFrame) -> dict[str, DataFrame]:
+    """The child tables occurrences, advisories and verdicts of each scan's last readable document.
+
+    Each row knows its scan_id, artefact_id and pos in its array; every element has a row, also one
+    without values. Rows of artefacts without an id, and of assessments filed under none, are left out.
+    """
+    leaves = elements(shred(last_readable(documents, "scan_id", "received_at", "document"), "scan_id", "document", TABLES_SHAPE, wrapper="result"), 2)
+    ids = element_table(leaves, ["artefacts.id"], 1, "artefact_id", [F.col("e1")])
+    filed = leaves.filter((F.col("path") == "risk_assessments.artefact_id") & (F.col("def") >= 1))
+    filed = filed.select("key", "e1", F.coalesce("map_key", "value").alias("artefact_id")).filter("artefact_id is not null")
+    named = {
+        "occurrences": (ids, "artefacts.occurrences", {"location": [".", ".location.", ".location.path"], "line_number": [".line_number"], "snippet": [".snippet"]}),
+        "advisories": (ids, "artefacts.known_vulnerabilities", {"advisory_id": [".id"], "severity": [".severity"], "fixed_version": [".fixed_version"]}),
+        "verdicts": (filed, "risk_assessments.model_verdicts", {"model": [".model"], "at_risk": [".at_risk"], "slack_years": [".slack_years"], "must_start_by": [".must_start_by"], "low": [".probability.low"], "high": [".probability.high"]}),
+    }
+    typed = {"line_number": "int", "slack_years": "double", "low": "double", "high": "double", "at_risk": "boolean"}
+    out = {}
+    for table, (owners, prefix, names) in named.items():
+        rows = _elements_of(leaves, prefix, names).join(owners, ["key", "e1"])
+        out[table] = rows.select(F.col("key").alias("scan_id"), "artefact_id", "pos", *[F.col(c).try_cast(typed.get(c, "string")).alias(c) for c in names])
+    return out

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from cipherledger.operators.scan_documents import scan_children
+from cipherledger.operators.scan_documents import scan_children, scan_tables
 from cipherledger.operators.schema_drift import FIELDS, OTHER_NAMES, drift, typed_table
 from cipherledger.operators.snapshot_changes import Compared, snapshot_changes
 from cipherledger.sources.tables import table
@@ -44,7 +46,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_children(table(spark, sf_dir, "scan_document"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_risk_table": p4_risk_table, "p4_request_table": p4_request_table, "p6_found": p6_found}
+def _p6_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: scan_tables(table(spark, sf_dir, "scan_document"))[name]
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_risk_table": p4_risk_table, "p4_request_table": p4_request_table, "p6_found": p6_found, **{f"p6_{t}": _p6_table(t) for t in ("occurrences", "advisories", "verdicts")}}
 
 _TEXTS = ", ".join(f"coalesce(trim({c}), '') AS {c}" for c in REGISTER_COMPARED.texts)
 _DATES = ", ".join(f"regexp_replace(coalesce(trim({c}), ''), '[T ]00:00:00$', '') AS {c}" for c in REGISTER_COMPARED.dates)
@@ -93,6 +99,13 @@ SELECT * FROM (
 WHERE value IS NOT NULL
 """
 
+_P6_PARTS = _P6[: _P6.index("SELECT * FROM (")]
+_P6_TABLES = {
+    "p6_occurrences": "SELECT scan_id, artefact_id, pos::INT AS pos, CASE json_type(x, '$.location') WHEN 'OBJECT' THEN x->>'$.location.path' ELSE x->>'$.location' END AS location, try_cast(x->>'$.line_number' AS INT) AS line_number, x->>'$.snippet' AS snippet FROM occ1",
+    "p6_advisories": "SELECT scan_id, artefact_id, parent_pos::INT AS pos, x->>'$.id' AS advisory_id, x->>'$.severity' AS severity, x->>'$.fixed_version' AS fixed_version FROM kv1",
+    "p6_verdicts": "SELECT scan_id, artefact_id, pos::INT AS pos, x->>'$.model' AS model, (x->>'$.at_risk')::BOOLEAN AS at_risk, (x->>'$.slack_years')::DOUBLE AS slack_years, x->>'$.must_start_by' AS must_start_by, (x->>'$.probability.low')::DOUBLE AS low, (x->>'$.probability.high')::DOUBLE AS high FROM mv1",
+}
+
 _NAMED = " ".join(
     f"WHEN entity = '{e}' AND plain IN ({', '.join(repr(x.replace('_', '')) for x in [f, *OTHER_NAMES[e].get(f, [])])}) THEN '{f}'" for e, fields in FIELDS.items() for f in fields
 )
@@ -119,4 +132,4 @@ UNION ALL SELECT file_name, field_name, 'renamed' FROM c WHERE an <> bn
 UNION ALL SELECT file_name, field_name, 'retyped' FROM c WHERE ak <> bk
 """
 
-ORACLE_SQL = {"p2_found": _P2, "p4_found": _P4, "p6_found": _P6}
+ORACLE_SQL = {"p2_found": _P2, "p4_found": _P4, "p6_found": _P6, **{name: _P6_PARTS + sql for name, sql in _P6_TABLES.items()}}
