@@ -179,3 +179,45 @@ def waves(rows: DataFrame, today: str) -> DataFrame:
     years = F.round((F.datediff("deadline", "starts") / 365.2425).cast("decimal(20,8)"), 2).cast("double")
     short = F.round((F.col("longest_y") - years).cast("decimal(20,8)"), 2).cast("double")
     return out.withColumns({"shortfall": short, "infeasible": short > 0, "breached": F.col("deadline") < F.col("starts")}).withColumns({"starts": F.col("starts").cast("string"), "deadline": F.col("deadline").cast("string")})
+
+
+def inventory_filter(rows: DataFrame, search: str = "", **equal: str) -> DataFrame:
+    """Rows that meet the filters, where the search is a substring of any single field, unlike `matching`."""
+    out = matching(rows, **equal)
+    if wanted := search.strip().lower():
+        fields = ["name", "algorithm_family", "location", "artefact_id"]
+        any_field = F.lit(False)
+        for c in fields:
+            any_field = any_field | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(wanted))
+        out = out.filter(any_field)
+    return out
+
+
+def wave_members(rows: DataFrame, today: str, first: int = 20) -> DataFrame:
+    """The `first` rows of each scan and migration wave, by band, then deadline; place counts from 1."""
+    day = F.to_date(F.lit(today))
+    slack = F.round((F.datediff(F.to_date(F.substring("must_start_by", 1, 10)), day) / 365.2425).cast("decimal(20,8)"), 2)
+    wave = F.when(slack <= 0, 0).when(slack < 1, 1).when(slack < 3, 2).when(slack < 5, 3).otherwise(4)
+    order = Window.partitionBy("scan_id", "wave").orderBy(risk_rank(F.col("risk_category")), F.coalesce("must_complete_by", F.lit(FAR)), "artefact_id")
+    return rows.filter("must_start_by is not null").withColumn("wave", wave).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= first)
+
+
+def nearest_horizon(scans: DataFrame, years: list[int]) -> DataFrame:
+    """scan_id, horizon: of the sampled horizons the one nearest to the scan's own, the first of equals; null without one."""
+    at = F.array_min(F.array(*[F.struct(F.abs(F.col("mosca_global_z") - y).alias("gap"), F.lit(i).alias("i"), F.lit(y).alias("y")) for i, y in enumerate(years)]))
+    return scans.dropDuplicates(["scan_id"]).select("scan_id", F.when(F.col("mosca_global_z").isNotNull(), at.getField("y")).alias("horizon"))
+
+
+def binary_offsets(evidence: DataFrame, cap: int = 12) -> DataFrame:
+    """id, place, total: signature matches in binaries by offset, at most `cap` shown per file and pattern, all counted.
+
+    Matches of one pattern at one offset count once, by the smallest id; matches without an offset come last.
+    """
+    own = evidence.filter("target_type = 'binary' and id is not null").select("id", "scan_id", "file_path", "matched_pattern", "column_number").dropDuplicates(["id"])
+    key = ["scan_id", "file_path", "matched_pattern"]
+    once = own.groupBy(*key, "column_number").agg(F.min("id").alias("id"))
+    totals = once.groupBy(*key).agg(F.count("*").alias("total"))
+    order = Window.partitionBy(*key).orderBy(F.col("column_number").asc_nulls_last(), "id")
+    shown = once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap)
+    on = [shown[c].eqNullSafe(totals[c]) for c in key]
+    return shown.join(totals, on).select("id", "place", "total")

@@ -59,6 +59,16 @@ def g_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(gone, "scan_id", "left_anti").groupBy("scan_id").agg(F.count("*").alias("n"))
 
 
+def j_nearest_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled horizon nearest to each scan's own."""
+    return reg.nearest_horizon(table(spark, sf_dir, "scan_summary"), HORIZONS)
+
+
+def d_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signature matches in binaries, capped per file and pattern."""
+    return reg.binary_offsets(table(spark, sf_dir, "evidence"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "g_filter": _over(g_filter),
     "g_search": _over(g_search),
@@ -79,6 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "m_waves": _over(lambda rows: reg.waves(rows, TODAY)),
     "x_delta": x_delta,
     "x_counts": x_counts,
+    "j_inventory": _over(lambda rows: reg.inventory_filter(rows, "Vault", type="algorithm").select(*SHOWN)),
+    "j_wave_members": _over(lambda rows: reg.wave_members(rows, TODAY).select("scan_id", "wave", "place", "artefact_id")),
+    "j_nearest_horizon": j_nearest_horizon,
+    "d_offsets": d_offsets,
 }
 
 _REG = """
@@ -140,4 +154,14 @@ ORACLE_SQL = {
       SELECT scan_id, wave, assets, st::VARCHAR AS starts, dl::VARCHAR AS deadline, longest_y, critical, high, medium, low, shortfall, shortfall > 0 AS infeasible, dl < st AS breached FROM y""",
     "x_delta": f"WITH {_REG}, {_DELTA} SELECT * FROM d",
     "x_counts": f"WITH {_REG}, {_DELTA} SELECT scan_id, bucket, count(*) AS n, count(*) FILTER (rank_now = 3) AS critical FROM d GROUP BY ALL",
+    "j_inventory": f"WITH {_REG} SELECT {_SHOWN} FROM reg WHERE type = 'algorithm' AND (contains(lower(coalesce(name, '')), 'vault') OR contains(lower(coalesce(algorithm_family, '')), 'vault') OR contains(lower(coalesce(location, '')), 'vault') OR contains(artefact_id, 'vault'))",
+    "j_wave_members": f"""WITH {_REG}, w AS (SELECT *, round((datediff('day', DATE '{TODAY}', must_start_by[1:10]::DATE) / 365.2425::DOUBLE)::DECIMAL(20, 8), 2) AS slack FROM reg WHERE must_start_by IS NOT NULL),
+      v AS (SELECT *, CASE WHEN slack <= 0 THEN 0 WHEN slack < 1 THEN 1 WHEN slack < 3 THEN 2 WHEN slack < 5 THEN 3 ELSE 4 END AS wave FROM w),
+      o AS (SELECT *, row_number() OVER (PARTITION BY scan_id, wave ORDER BY {_RANK}, coalesce(must_complete_by, '9999-12-31'), artefact_id) AS place FROM v)
+      SELECT scan_id, wave, place, artefact_id FROM o WHERE place <= 20""",
+    "j_nearest_horizon": f"SELECT DISTINCT scan_id, CASE WHEN mosca_global_z IS NOT NULL THEN (SELECT arg_min(h, abs(mosca_global_z - h) * 1000 + h) FROM (SELECT unnest({HORIZONS})::INT AS h)) END AS horizon FROM scan_summary",
+    "d_offsets": """WITH e AS (SELECT DISTINCT ON (id) id, scan_id, file_path, matched_pattern, column_number FROM evidence WHERE target_type = 'binary' AND id IS NOT NULL),
+      o AS (SELECT scan_id, file_path, matched_pattern, column_number, min(id) AS id FROM e GROUP BY ALL),
+      n AS (SELECT id, row_number() OVER (PARTITION BY scan_id, file_path, matched_pattern ORDER BY column_number NULLS LAST, id) AS place, count(*) OVER (PARTITION BY scan_id, file_path, matched_pattern) AS total FROM o)
+      SELECT * FROM n WHERE place <= 12""",
 }
