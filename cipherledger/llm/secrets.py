@@ -60,7 +60,7 @@ PLACEHOLDER = re.compile(
 )
 ENCRYPTED = re.compile(r"^(?:ENC\(|\{cipher\}|\{aes\}|\$ANSIBLE_VAULT|vault:|kms:|sops:|AQICA|!vault|\$2[aby]\$|\$argon2|pbkdf2|sha\d+\$|\{SSHA)", re.I)
 
-_NAME = r"[A-Za-z_$][\w.$\-]*"
+_NAME = r"(?<![A-Za-z0-9_$])[A-Za-z_$][\w.$\-]{0,120}"  # bounded, so that long runs of letters are passed once
 _QUOTED = r"""[bBrRuU]?(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q)).)*)(?P<end>(?P=q)|$)"""
 _DECODE = r"(?:[\w.]*(?:fromhex|unhexlify|b64decode|decode|Buffer\.from|atob|DecodeString|getBytes|encode)\w*\(\s*)?"
 #: name, separator, quoted value; also `"name": "v"`, `name["x"] = "v"`, `name := "v"`, `name == "v"`.
@@ -73,18 +73,18 @@ ELEMENT = re.compile(r"<(?P<n>[A-Za-z_][\w.\-]*)>(?P<v>[^<\s][^<]*?)\s*(?:</|$)"
 PROPERTY = re.compile(r"""name=["'](?P<n>[\w.\-]+)["']\s+value=["'](?P<v>[^"'\n]*)(?P<end>["']|$)""")
 CONNECTION = re.compile(r"""[;"'\s](?P<n>Password|Pwd)=(?P<v>[^;"'\n]+)(?=[;"']|$)""", re.I)
 NPMRC = re.compile(r":_(?:authToken|auth|password)=(?P<v>\S+)")
-URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://[^/\s:@"']*:(?P<v>[^\s/"'@]+(?:@[^\s/"'@]+)*?)(?:@(?=[^\s/"'@]+(?:[:/"'\s]|$))|$)""")
+URL = re.compile(r"""(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.\-]{0,30}://[^/\s:@"']*:(?P<v>[^\s/"'@]+(?:@[^\s/"'@]+)*?)(?:@(?=[^\s/"'@]+(?:[:/"'\s]|$))|$)""")
 FLAGS = [
     re.compile(r"-pass(?:in|out)?\s+pass:(?P<v>\S+)"),
     re.compile(r"-(?:storepass|keypass|srcstorepass|deststorepass)\s+(?P<v>\S+)"),
     re.compile(r"--(?:password|passwd|token|secret|api-key|access-key)[=\s]+[\"']?(?P<v>[^\s\"']+)"),
-    re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n]*?\s-p(?P<v>[^\s\-][^\s]*)"),
-    re.compile(r"\b(?:sshpass|redis-cli)\b[^\n]*?\s-[pa]\s+(?P<v>\S+)"),
-    re.compile(r"\bcurl\b[^\n]*?\s(?:-u|--user)\s+[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)"),
+    re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n]{0,300}?\s-p(?P<v>[^\s\-][^\s]*)"),
+    re.compile(r"\b(?:sshpass|redis-cli)\b[^\n]{0,300}?\s-[pa]\s+(?P<v>\S+)"),
+    re.compile(r"\bcurl\b[^\n]{0,300}?\s(?:-u|--user)\s+[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)"),
 ]
 HEADER = re.compile(r"\b(?P<s>Basic|Bearer)\s+(?P<v>[0-9A-Za-z+/=_.\-]{8,})")
 KEY_LITERAL = re.compile(rf"(?:(?:\b(?:AES|DES|DES3|ARC2|ARC4|Blowfish|CAST|ChaCha20|ChaCha20_Poly1305|Salsa20|Fernet|hmac)\.new|\bFernet|\bSecretKeySpec|createHmac\(\s*[\"'][\w-]+[\"']\s*,|createCipher(?:iv)?\(\s*[\"'][\w-]+[\"']\s*,)\(?\s*(?:bytes\.fromhex\(\s*)?){_QUOTED}")
-COMPARED = re.compile(r"""\.(?:equals|equalsIgnoreCase|contentEquals|compareTo)\(\s*["'](?P<v>[^"'\n]+)["']\s*\)[^\n]*?(?:grant|admin|allow|unlock|login|auth|access)""", re.I)
+COMPARED = re.compile(r"""\.(?:equals|equalsIgnoreCase|contentEquals|compareTo)\(\s*["'](?P<v>[^"'\n]+)["']\s*\)[^\n]{0,200}?(?:grant|admin|allow|unlock|login|auth|access)""", re.I)
 TOLD = re.compile(r"\b(?:login|credentials?|account|user)\b[^:\n]{0,60}:\s*[\w.@\-]+\s*/\s*(?P<v>\S+)", re.I)
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\s|\\n|\\r|[\"'+])+(?P<m>[0-9A-Za-z+/=]{4,}(?:\s|\\n|\\r|[\"'+]|[0-9A-Za-z/=])*)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?")
 JOINED = re.compile(r"""["']\s*\+\s*\n?\s*["']([^"'\n]*)""")
