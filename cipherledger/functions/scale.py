@@ -12,23 +12,18 @@ from pyspark.sql import functions as F
 SALTS = 8
 
 
-def salted_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Joins facts to a dimension with unique keys; the rows of a hot key go to `salts` tasks.
+def salted_join(facts: DataFrame, dim: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Joins facts to a dimension with unique keys; the rows of a hot key go to `salts` tasks by the hash of the columns `by`.
 
     Spark still broadcasts the dimension where its measured size is below
     spark.sql.autoBroadcastJoinThreshold; beyond it both sides are shuffled by (keys, salt),
     with the dimension's rows repeated once for each salt. Null keys match nothing.
     """
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns if _hashable(facts, c)]), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
     wide = dim.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return facts.withColumn("_salt", spread).join(wide, [*keys, "_salt"], how).drop("_salt")
 
 
-def _hashable(df: DataFrame, name: str) -> bool:
-    kind = df.schema[name].dataType.simpleString()
-    return "map<" not in kind and "variant" not in kind
-
-
 def previous_in_series(df: DataFrame, series: list[str], when: Column, tie: str, take: list[str], prefix: str = "prev_") -> DataFrame:
     """Adds, for each row, the columns `take` of the row before it in its series as prev_...
 

@@ -20,7 +20,7 @@ FAR = "9999-12-31"
 
 def current(rows: DataFrame) -> DataFrame:
     """The register's rows: of each scan the last delivery, repeated rows once; artefact_id in lower case."""
-    kept = salted_join(rows, last_delivery(rows), ["scan_id", "delivery_no"])
+    kept = salted_join(rows, last_delivery(rows), ["scan_id", "delivery_no"], ["artefact_id"])
     newest = Window.partitionBy("scan_id", F.lower("artefact_id")).orderBy(F.col("delivered_at").desc_nulls_last(), F.col("_id"))
     return kept.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n").withColumn("artefact_id", F.lower("artefact_id"))
 
@@ -147,8 +147,8 @@ def scan_delta(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     assets = rows.select("scan_id", F.coalesce("algorithm_family", blank).alias("algorithm_family"), F.coalesce("type", blank).alias("type"), slashed(F.coalesce(F.trim("location"), blank)).alias("path"), "artefact_id", F.struct("artefact_id", rank.alias("rank"), F.coalesce("key_size_bits", F.lit(-1)).alias("size"), F.coalesce(F.trim("curve"), blank).alias("curve"), "occurrence_count").alias("v"))
     assets = assets.groupBy("scan_id", *key).agg(F.max_by("v", "artefact_id").alias("v"))
     sides = pairs.filter("prev_scan_id is not null")
-    now = salted_join(assets, sides.select("scan_id"), ["scan_id"]).withColumnRenamed("v", "now")
-    then = salted_join(assets.withColumnRenamed("scan_id", "prev_scan_id"), sides, ["prev_scan_id"]).drop("prev_scan_id").withColumnRenamed("v", "then")
+    now = salted_join(assets, sides.select("scan_id"), ["scan_id"], ["path"]).withColumnRenamed("v", "now")
+    then = salted_join(assets.withColumnRenamed("scan_id", "prev_scan_id"), sides, ["prev_scan_id"], ["path"]).drop("prev_scan_id").withColumnRenamed("v", "then")
     both = now.join(then, ["scan_id", *key], "full")
     changed = (F.col("now.size") != F.col("then.size")) | (F.col("now.curve") != F.col("then.curve"))
     bucket = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now.rank") > F.col("then.rank"), "worsened").when(F.col("now.rank") < F.col("then.rank"), "improved").when(changed, "parameters_changed").otherwise("unchanged")

@@ -128,8 +128,8 @@ def drift(records: DataFrame) -> DataFrame:
     files = rows.groupBy("file_name").agg(F.min(F.struct("exported_at", "feed_name")).alias("f")).select("file_name", "f.*")
     steps = previous_in_series(files, ["feed_name"], F.col("exported_at"), "file_name", ["file_name"]).filter("prev_file_name is not null").select("file_name", "prev_file_name")
     form = F.struct("name", "kind")
-    now = salted_join(forms, steps.select("file_name"), ["file_name"]).select("file_name", "field", form.alias("now"))
-    then = salted_join(forms.withColumnRenamed("file_name", "prev_file_name"), steps, ["prev_file_name"]).select("file_name", "field", form.alias("then"))
+    now = salted_join(forms, steps.select("file_name"), ["file_name"], ["field"]).select("file_name", "field", form.alias("now"))
+    then = salted_join(forms.withColumnRenamed("file_name", "prev_file_name"), steps, ["prev_file_name"], ["field"]).select("file_name", "field", form.alias("then"))
     both = now.join(then, ["file_name", "field"], "full")
     kinds = F.array(
         F.when(F.col("then").isNull(), "added"),

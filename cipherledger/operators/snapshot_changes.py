@@ -79,7 +79,7 @@ def snapshot_changes(rows: DataFrame, scans: DataFrame, key: str, compared: Comp
 
     records = rows.select("scan_id", "delivery_no", "delivered_at", F.lower(trimmed(F.col(key))).alias("key"), compared.packed().alias("row")).filter(F.col("key") != "")
     newest = Window.partitionBy("scan_id", "key").orderBy(F.col("delivered_at").desc_nulls_last(), F.col("row").desc())
-    counted = salted_join(records, last_delivery(rows).join(roles, "scan_id"), ["scan_id", "delivery_no"])
+    counted = salted_join(records, last_delivery(rows).join(roles, "scan_id"), ["scan_id", "delivery_no"], ["key"])
     once = counted.withColumn("_n", F.row_number().over(newest)).filter("_n = 1")
     sided = once.select(F.explode("roles").alias("_role"), "key", "row").select("_role.*", "key", "row")
 

@@ -36,8 +36,8 @@ def test_register_upserts_replace_whole_scans(spark, tmp_path):
 def test_salted_join_keeps_every_match_once(spark):
     facts = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
     dim = spark.createDataFrame([("hot", 1), ("5", 2), (None, 3)], "k string, v int")
-    assert salted_join(facts, dim, ["k"]).count() == 334 + 1
-    left = salted_join(facts.union(spark.createDataFrame([(None, -1)], "k string, id long")), dim, ["k"], "left")
+    assert salted_join(facts, dim, ["k"], ["id"]).count() == 334 + 1
+    left = salted_join(facts.union(spark.createDataFrame([(None, -1)], "k string, id long")), dim, ["k"], ["id"], "left")
     assert left.count() == 1001 and left.filter("v is not null").count() == 335
 
 
