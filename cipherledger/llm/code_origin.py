@@ -192,7 +192,7 @@ def file_origins(files: DataFrame, shared_share: float = 0.4) -> DataFrame:
     table = cut_lineage(file_table(files))
     rules = table.select("file_id", "repo", F.explode("rules").alias("r")).select("file_id", "repo", "r.*")
     shared = rules.groupBy("rule").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).filter("a <> b").select("rule")
-    covered = salted_join(rules, shared, ["rule"]).groupBy("file_id").agg(F.sum("lines").alias("covered"))
+    covered = salted_join(rules, shared, ["rule"], ["file_id"]).groupBy("file_id").agg(F.sum("lines").alias("covered"))
     c = F.col
     rest = c("left") / F.greatest(c("tokens"), F.lit(1))
     minified = (c("line_chars") >= 300) & (c("blank_share") <= 0.09) & ((c("name_chars") <= 4) | c("sheet")) | c("minified_mark")

@@ -84,7 +84,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, budget: int | None = N
     ranges = _ranges(scale["rows"] or 0)
 
     weights = present.select("source", (F.col("target_share") / F.lit(scale["s"] or 1.0)).alias("weight"), "max_repeats")
-    queue = salted_join(counted.filter("tokens > 0"), weights, ["source"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))))
+    queue = salted_join(counted.filter("tokens > 0"), weights, ["source"], ["doc_id"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))))
     # each copy of a source is shuffled anew and follows the copy before it
     shuffled = queue.withColumn("_h", F.xxhash64("doc_id", "copy", F.lit(seed)))
     slot = F.col("copy") * ranges + F.floor((F.shiftrightunsigned("_h", 1) / F.lit(2.0**63)) * ranges)
