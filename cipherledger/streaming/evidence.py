@@ -8,6 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cipherledger.functions.scale import shared_folder
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def evidence_stream(spark: SparkSession, path: str) -> DataFrame:
     """A parquet folder or file of evidence as a stream; files that arrive later are read later."""
@@ -33,13 +36,19 @@ def windowed_counts(evidence: DataFrame, window: str = "7 days", lateness: str =
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there and returns its result, kept in the shared checkpoint folder.
 
-    In complete mode every batch replaces the result; in append mode batches are added.
+    In complete mode every batch replaces the result; in append mode batches are added. State is kept on disk,
+    as the ids that are remembered grow with the input.
     """
     spark = stream.sparkSession
     at = shared_folder(spark)
     how = "overwrite" if mode == "complete" else "append"
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(lambda batch, _: batch.write.mode(how).parquet(f"{at}/result")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ON_DISK)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(lambda batch, _: batch.write.mode(how).parquet(f"{at}/result")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{at}/result")
 
 
