@@ -161,11 +161,15 @@ def aggregate(assets: DataFrame, within: list[str]) -> DataFrame:
 
 
 def merge_scans(assets: DataFrame) -> DataFrame:
-    """Assets of all scans merged by identity: occurrences over distinct places, and the systems they were seen in."""
-    per_system = aggregate(assets, ["system_name"])
-    return per_system.groupBy(*IDENTITY).agg(
-        F.array_sort(F.collect_set("system_name")).alias("source_systems"), F.max("occurrence_count").alias("most_occurrences"), F.sum("evidence_count").alias("evidence_count"), F.max("confidence").alias("confidence"), F.min("line_number").alias("line_number")
-    )
+    """Assets of all scans merged by identity as aggregate() does: occurrence_count counts the distinct lines of all systems together.
+
+    Beside that source_systems, the systems they were seen in, and most_occurrences, the most lines that one system reports.
+    """
+    per_line = assets.groupBy(*IDENTITY, "system_name", "line_number").agg(F.lit(1).alias("one"))
+    per_system = per_line.groupBy(*IDENTITY, "system_name").agg(F.count("*").alias("lines"))
+    seen = per_system.groupBy(*IDENTITY).agg(F.array_sort(F.collect_set("system_name")).alias("source_systems"), F.max("lines").alias("most_occurrences"))
+    same = reduce(lambda a, b: a & b, [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in IDENTITY])
+    return aggregate(assets, []).alias("m").join(seen.alias("s"), same).select("m.*", "s.source_systems", "s.most_occurrences")
 
 
 def nearest_above(evidence: DataFrame, tolerance: int = 6) -> DataFrame:

@@ -24,10 +24,15 @@ def a_aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.aggregate(inv.normalise(table(spark, sf_dir, "evidence")), ["scan_id"]).drop("name")
 
 
-def a_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assets of all scans merged, with the systems they were seen in."""
+def a_merged_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets of all scans merged, with the distinct lines of all systems and the systems they were seen in."""
     merged = inv.merge_scans(inv.normalise(table(spark, sf_dir, "evidence")))
-    return merged.withColumn("source_systems", F.concat_ws("|", "source_systems"))
+    return merged.withColumn("source_systems", F.concat_ws("|", "source_systems")).drop("name")
+
+
+def a_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged assets of a_merged_places with the most lines that one system reports, not the lines of all."""
+    return a_merged_places(spark, sf_dir).select(*inv.IDENTITY, "source_systems", "most_occurrences", "evidence_count", "confidence", "line_number")
 
 
 def t_nearest_above(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +40,7 @@ def t_nearest_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.nearest_above(table(spark, sf_dir, "evidence"))
 
 
-QUERIES = {"n_normalised": n_normalised, "n_families": n_families, "a_aggregated": a_aggregated, "a_merged": a_merged, "t_nearest_above": t_nearest_above}
+QUERIES = {"n_normalised": n_normalised, "n_families": n_families, "a_aggregated": a_aggregated, "a_merged": a_merged, "a_merged_places": a_merged_places, "t_nearest_above": t_nearest_above}
 
 
 def _has(texts: list[str], marks: list[str]) -> str:
@@ -102,6 +107,15 @@ ORACLE_SQL = {
         FROM n GROUP BY scan_id, {_ID}""",
     "a_merged": f"""WITH {NORMALISED}, s AS (SELECT system_name, {_ID}, count(DISTINCT coalesce(line_number, -1)) AS occ, count(*) AS ev, max(confidence) AS confidence, min(line_number) AS line_number FROM n GROUP BY system_name, {_ID})
         SELECT {_ID}, string_agg(DISTINCT system_name, '|' ORDER BY system_name) AS source_systems, max(occ) AS most_occurrences, sum(ev)::BIGINT AS evidence_count, max(confidence) AS confidence, min(line_number) AS line_number FROM s GROUP BY {_ID}""",
+    "a_merged_places": f"""WITH {NORMALISED}, s AS (SELECT system_name, {_ID}, count(DISTINCT coalesce(line_number, -1)) AS occ FROM n GROUP BY system_name, {_ID}),
+        p AS (SELECT {_ID}, string_agg(DISTINCT system_name, '|' ORDER BY system_name) AS source_systems, max(occ) AS most_occurrences FROM s GROUP BY {_ID}),
+        m AS (SELECT {_ID}, arg_min(quantum_vulnerability, id) AS quantum_vulnerability, arg_min(algorithm_class, id) AS algorithm_class, (array_agg(purl ORDER BY id))[1] AS purl,
+          ['Low', 'Medium', 'High', 'Critical'][max({_RANK})] AS business_criticality, CASE WHEN max({_KNOWN}) > 0 THEN ['assumed', 'literal', 'dataflow'][max({_KNOWN})] END AS parameter_source,
+          max(confidence) AS confidence, min(line_number) AS line_number,
+          CASE WHEN min(line_number) IS NOT NULL THEN (array_agg(snippet ORDER BY line_number NULLS LAST, snippet NULLS LAST))[1] END AS code_snippet,
+          count(DISTINCT coalesce(line_number, -1)) AS occurrence_count, count(*) AS evidence_count
+          FROM n GROUP BY {_ID})
+        SELECT m.*, p.source_systems, p.most_occurrences FROM m JOIN p ON {" AND ".join(f"m.{c} IS NOT DISTINCT FROM p.{c}" for c in inv.IDENTITY)}""",
     "t_nearest_above": r"""
         WITH e AS (SELECT DISTINCT ON (id) id, scan_id, regexp_replace(replace(file_path, '\', '/'), '^(\./+)+', '') AS path, line_number, key_length, contains(coalesce(metadata.detector, ''), 'taint') AS finding
                    FROM evidence WHERE line_number IS NOT NULL AND target_type = 'source_code'),

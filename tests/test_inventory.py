@@ -65,6 +65,12 @@ def test_merged_scans(spark):
     assert rows(inv.merge_scans(inv.normalise(table(spark, *data))), "source_systems", "most_occurrences", "evidence_count") == [(["a", "b"], 2, 3)]
 
 
+def test_merged_scans_count_the_lines_of_all_systems(spark):
+    data = [evidence(f"a{n}", "AES", key=256, line=n, system="a", resolved=False) for n in (1, 2, 3)] + [evidence(f"b{n}", "AES", key=256, line=n, system="b", scan="t", detector="regex+taint", snippet="s") for n in (3, 4, 5)]
+    got = rows(inv.merge_scans(inv.normalise(table(spark, *data))), "source_systems", "occurrence_count", "most_occurrences", "evidence_count", "parameter_source", "business_criticality", "confidence", "line_number", "code_snippet")
+    assert got == [(["a", "b"], 5, 3, 6, "dataflow", "Medium", 0.99, 1, "t")]
+
+
 def test_nearest_above(spark):
     data = [
         evidence("t1", line=10), evidence("t2", line=12), evidence("t0", line=12), evidence("bound", line=13, key=128), evidence("f1", line=14, detector="taint"), evidence("f2", line=18, detector="ast+taint", path="./a.py"),
