@@ -43,6 +43,9 @@ PROVENANCE = ["assumed", "literal", "dataflow"]  # by rank from 1
 # Manifest names, purl types.
 MANIFESTS = {"package.json": "npm", "requirements.txt": "pypi", "Pipfile": "pypi", "pom.xml": "maven", "go.mod": "golang", "Cargo.toml": "cargo"}
 
+# Names whose parameters identify the asset, so that no finding is bound to them.
+NON_ALGORITHMS = ["Hardcoded-Private-Key", "Hardcoded-Public-Key", "X509-Certificate", "Cloud KMS Service", "HSM/PKCS#11 Module"]
+
 
 def _any_in(texts: list[Column], marks: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(t, F.lit(m)) for t in texts for m in marks])
@@ -188,3 +191,24 @@ def nearest_above(evidence: DataFrame, tolerance: int = 6) -> DataFrame:
     met = e.filter("finding").withColumn("block", block).join(offered, ["scan_id", "path", "block"]).withColumn("distance", F.col("line_number") - F.col("at"))
     nearest = met.filter(F.col("distance").between(0, tolerance)).groupBy("id").agg(F.min(F.struct("distance", "target_id")).alias("t"))
     return nearest.select(F.col("id").alias("finding_id"), F.col("t.target_id").alias("target_id"), F.col("t.distance").alias("distance"))
+
+
+def bind_findings(evidence: DataFrame, tolerance: int = 6) -> DataFrame:
+    """finding_id, target_id, distance, binding: every dataflow finding and the record its value belongs to.
+
+    Records are source_code evidence that is no finding and not of NON_ALGORITHMS, whatever their key length. The first
+    record on a finding's own line is bound directly; else the nearest record above, within `tolerance` lines, that no
+    finding is bound to directly, of one line the last (nearest-generator). The order of appearance is not recorded, so ids
+    order the records of a line; nor is the parameter a finding resolves, so each binds as one of a key size does.
+    Blocks of lines as in nearest_above; findings without a record have no row, nor have records without a line number.
+    """
+    e = evidence.filter("line_number is not null and target_type = 'source_code'").select("id", "scan_id", plain_path(F.col("file_path")).alias("path"), "line_number", F.contains(F.coalesce(F.col("metadata.detector"), F.lit("")), F.lit("taint")).alias("finding"), F.coalesce("detected_name", F.lit("")).isin(NON_ALGORITHMS).alias("other")).dropDuplicates(["id"])
+    block = F.floor(F.col("line_number") / (tolerance + 1))
+    record = F.when(~F.col("finding") & ~F.col("other"), F.col("id"))
+    lines = e.groupBy("scan_id", "path", "line_number").agg(F.min(record).alias("first"), F.max(record).alias("last"), F.max("finding").alias("hit")).filter("first is not null")
+    free = F.when(~F.col("hit") | (F.col("first") != F.col("last")), F.col("last"))  # a finding binds the first one of its line
+    offered = lines.select("scan_id", "path", F.col("line_number").alias("at"), "first", free.alias("free"), F.explode(F.array(block, block + 1)).alias("block"))
+    met = e.filter("finding").withColumn("block", block).join(offered, ["scan_id", "path", "block"]).withColumn("distance", F.col("line_number") - F.col("at"))
+    met = met.withColumn("target_id", F.when(F.col("distance") == 0, F.col("first")).otherwise(F.col("free"))).filter(F.col("distance").between(0, tolerance) & F.col("target_id").isNotNull())
+    nearest = met.groupBy("id").agg(F.min(F.struct("distance", "target_id")).alias("t"))
+    return nearest.select(F.col("id").alias("finding_id"), "t.target_id", "t.distance", F.when(F.col("t.distance") == 0, "direct").otherwise("nearest-generator").alias("binding"))

@@ -40,7 +40,12 @@ def t_nearest_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.nearest_above(table(spark, sf_dir, "evidence"))
 
 
-QUERIES = {"n_normalised": n_normalised, "n_families": n_families, "a_aggregated": a_aggregated, "a_merged": a_merged, "a_merged_places": a_merged_places, "t_nearest_above": t_nearest_above}
+def t_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dataflow findings and the record each is bound to, on its own line or above."""
+    return inv.bind_findings(table(spark, sf_dir, "evidence"))
+
+
+QUERIES = {"n_normalised": n_normalised, "n_families": n_families, "a_aggregated": a_aggregated, "a_merged": a_merged, "a_merged_places": a_merged_places, "t_nearest_above": t_nearest_above, "t_bound": t_bound}
 
 
 def _has(texts: list[str], marks: list[str]) -> str:
@@ -123,4 +128,17 @@ ORACLE_SQL = {
         SELECT f.id AS finding_id, t.target_id, f.line_number - t.line_number AS distance
         FROM e f ASOF JOIN t ON f.scan_id = t.scan_id AND f.path = t.path AND f.line_number >= t.line_number
         WHERE f.finding AND f.line_number - t.line_number <= 6""",
+    "t_bound": rf"""
+        WITH e AS (SELECT DISTINCT ON (id) id, scan_id, regexp_replace(replace(file_path, '\', '/'), '^(\./+)+', '') AS path, line_number, contains(coalesce(metadata.detector, ''), 'taint') AS finding,
+                     coalesce(detected_name, '') NOT IN ({", ".join(f"'{n}'" for n in inv.NON_ALGORITHMS)}) AS eligible
+                   FROM evidence WHERE line_number IS NOT NULL AND target_type = 'source_code'),
+        r AS (SELECT *, row_number() OVER (PARTITION BY scan_id, path, line_number ORDER BY id) AS nth FROM e WHERE NOT finding AND eligible),
+        own AS (SELECT f.id AS finding_id, r.id AS target_id FROM e f JOIN r USING (scan_id, path, line_number) WHERE f.finding AND r.nth = 1),
+        direct AS (SELECT DISTINCT target_id FROM own),
+        free AS (SELECT scan_id, path, line_number, max(id) AS target_id FROM r WHERE id NOT IN (SELECT target_id FROM direct) GROUP BY ALL)
+        SELECT finding_id, target_id, 0 AS distance, 'direct' AS binding FROM own
+        UNION ALL
+        SELECT f.id, t.target_id, f.line_number - t.line_number, 'nearest-generator'
+        FROM e f ASOF JOIN free t ON f.scan_id = t.scan_id AND f.path = t.path AND f.line_number >= t.line_number
+        WHERE f.finding AND f.id NOT IN (SELECT finding_id FROM own) AND f.line_number - t.line_number <= 6""",
 }

@@ -79,6 +79,18 @@ def test_nearest_above(spark):
     assert rows(inv.nearest_above(table(spark, *data)), "finding_id", "target_id", "distance") == [("f1", "t0", 2), ("f2", "t0", 6), ("f5", "t0", 0)]
 
 
+def test_findings_are_bound_whatever_the_key_length(spark):
+    data = [
+        evidence("r1", line=10, key=128), evidence("r2", line=12, key=256), evidence("r3", line=12, key=256), evidence("f1", line=12, detector="taint"), evidence("f2", line=14, detector="taint"),
+        evidence("cert", "X509-Certificate", line=20), evidence("f3", line=20, detector="taint"), evidence("f4", line=18, detector="taint"), evidence("u1", None, line=30), evidence("u2", line=30), evidence("f5", line=36, detector="taint", path="./a.py"),
+        evidence("own", line=40, key=64), evidence("f6", line=40, detector="taint"), evidence("f7", line=41, detector="taint"), evidence("f8", line=17, detector="taint", path="b.py"), evidence("f9", line=None, detector="taint"),
+    ]
+    assert rows(inv.bind_findings(table(spark, *data)), "finding_id", "target_id", "distance", "binding") == [
+        ("f1", "r2", 0, "direct"), ("f2", "r3", 2, "nearest-generator"), ("f4", "r3", 6, "nearest-generator"), ("f5", "u2", 6, "nearest-generator"), ("f6", "own", 0, "direct"),
+    ]
+    assert inv.bind_findings(table(spark)).count() == 0
+
+
 def test_empty(spark):
     empty = inv.normalise(table(spark))
     assert empty.count() == inv.aggregate(empty, ["scan_id"]).count() == inv.merge_scans(empty).count() == inv.nearest_above(table(spark)).count() == 0
