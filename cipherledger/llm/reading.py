@@ -90,8 +90,8 @@ def features(words: list[str], text: str, rarity: dict[str, float], rarest: floa
     sentences = max(1, len(SENTENCE_END.findall(text)))
     chars = sum(len(w) * c for w, c in counts.items())
     long = sum(c for w, c in counts.items() if len(w) >= 9)
-    window = 50  # moving windows keep diversity comparable between lengths
-    spans = range(0, max(1, n - window + 1), 50)
+    window = 50  # moving windows keep diversity comparable between lengths; the last one ends with the last word
+    spans = [*range(0, max(0, n - window), 25), max(0, n - window)]
     diverse = sum(len(set(words[i : i + window])) / min(window, n) for i in spans) / len(spans)
     rare = sum(rarity.get(w, rarest) * c for w, c in counts.items()) / n
     known = [(grade[w], c) for w, c in counts.items() if w in grade]

@@ -71,3 +71,10 @@ def test_ordinal_regression_orders_its_cuts():
 
 def test_features_of_one_word():
     assert np.isfinite(features(["word"], "word", {}, 1.0, {})).all()
+
+
+def test_every_word_counts_for_diversity():
+    for n in (51, 74, 75, 99, 120):
+        same = features(["w"] * n, "w", {}, 1.0, {})[3]
+        for i in range(n):
+            assert features(["w"] * i + ["v"] + ["w"] * (n - i - 1), "w", {}, 1.0, {})[3] > same
