@@ -48,28 +48,70 @@ def long_reports(evidence: DataFrame, fields: Sequence[str] = FIELDS) -> DataFra
     return rows.select(*GROUP, "id", "rank", "at", "_v.*").dropna(subset=[*GROUP, "id"])
 
 
-def _relax(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
-    """(field, value, level of the longest chain of edges that ends in the value, whether all chains ended within the rounds)."""
-    nodes = edges.select("field", F.col("a").alias("value")).union(edges.select("field", "b")).distinct()
-    levels = nodes.withColumn("level", F.lit(0))
-    for k in range(rounds):
-        reach = levels.filter(F.col("level") == k).join(edges.withColumnRenamed("a", "value"), ["field", "value"]).select("field", F.col("b").alias("value")).distinct()
-        reach = reach.withColumn("up", F.lit(k + 1))
-        levels = cut_lineage(levels.join(reach, ["field", "value"], "left").select("field", "value", F.coalesce("up", "level").alias("level")))
-        if levels.filter(F.col("level") == k + 1).isEmpty():
-            return levels, True
-    return levels, False
-
-
-def value_levels(reports: DataFrame, rounds: int = 8) -> DataFrame:
+def _peel(edges: DataFrame) -> DataFrame:
+    """field, value, level: the longest chain of edges that ends in the value; null on and behind cycles.
+
+    Each round takes the values that no value left leads to, so there are as many rounds as levels.
+    """
+    levels = edges.select("field", F.col("a").alias("value")).union(edges.select("field", "b")).distinct().withColumn("level", F.lit(None).cast("int"))
+    k = 0
+    while True:
+        left = levels.filter("level is null").select("field", F.col("value").alias("a"))
+        met = edges.join(left, ["field", "a"], "left_semi").select("field", F.col("b").alias("value")).distinct().withColumn("met", F.lit(True))
+        levels = cut_lineage(levels.join(met, ["field", "value"], "left").select("field", "value", F.when(F.col("level").isNull() & F.col("met").isNull(), k).otherwise(F.col("level")).alias("level")))
+        if levels.filter(F.col("level") == k).isEmpty():
+            return levels
+        k += 1
+
+
+def _inside(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """The edges between two of the values."""
+    of = lambda c: values.select("field", F.col("value").alias(c))
+    return edges.join(of("a"), ["field", "a"], "left_semi").join(of("b"), ["field", "b"], "left_semi").select("field", "a", "b")
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select("field", F.col("b").alias("a"), F.col("a").alias("b"))
+
+
+def _least_reaching(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """field, value, label: the smallest value that leads to the value, itself included."""
+    labels = values.select("field", "value", F.col("value").alias("label"))
+    while True:
+        sent = edges.join(labels.select("field", F.col("value").alias("a"), "label"), ["field", "a"]).select("field", F.col("b").alias("value"), "label", F.lit(None).cast("string").alias("was"))
+        labels = cut_lineage(labels.withColumn("was", F.col("label")).union(sent).groupBy("field", "value").agg(F.min("label").alias("label"), F.max("was").alias("was")))
+        if labels.filter("label <> was").isEmpty():
+            return labels.drop("was")
+        labels = labels.drop("was")
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """field, value, part: values have the same part if each leads to the other (strongly connected components).
+
+    Values of a part are split by the smallest value that leads to them and the smallest one they lead to,
+    until no part splits: the smallest value of a part is set apart with its component each time.
+    """
+    values = cut_lineage(edges.select("field", F.col("a").alias("value")).union(edges.select("field", "b")).distinct())
+    n = 0
+    while True:
+        ahead, back = _least_reaching(edges, values), _least_reaching(_turned(edges), values).withColumnRenamed("label", "to")
+        parts = cut_lineage(ahead.join(back, ["field", "value"]).select("field", "value", F.struct("label", "to").alias("part")))
+        found = parts.select("field", "part").distinct().count()
+        if found == n:
+            return parts
+        n = found
+        side = lambda c: parts.select("field", F.col("value").alias(c), F.col("part").alias(f"part_{c}"))
+        edges = cut_lineage(edges.join(side("a"), ["field", "a"]).join(side("b"), ["field", "b"]).filter("part_a = part_b").select("field", "a", "b"))
+
+
+def value_levels(reports: DataFrame) -> DataFrame:
     """field, value, level: how late a value stands in the learned order of currency (0: nothing precedes it).
 
     A transition is a pair of values of one group whose last reports follow each other; values
     compare without case. The direction seen more often is kept, and level is the longest chain of
-    kept transitions that ends in the value, found by relaxation. Chains that don't end within
-    `rounds` rounds run through cycles; among the values on them only transitions along the net
-    flow (reports that arrive less reports that leave) are then kept, which leaves no cycle. The graph
-    has one node per distinct value, not per report.
+    kept transitions that ends in the value, however long. Among values that lead to each other (on
+    cycles) only transitions along the net flow (reports that arrive less reports that leave) are
+    kept, which leaves no cycle. The graph has one node per distinct value, not per report.
     """
     value = F.lower("value").alias("value")
     seen = reports.filter("value is not null and at is not null").groupBy(*GROUP, "field", value).agg(F.max("at").alias("at"))
@@ -79,15 +121,20 @@ def value_levels(reports: DataFrame, rounds: int = 8) -> DataFrame:
     pairs = steps.groupBy("field", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.sum(F.when(F.col("a") < F.col("b"), 1).otherwise(-1)).alias("n")).filter("n <> 0")
     forward = F.col("n") > 0
     edges = cut_lineage(pairs.select("field", F.when(forward, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("b"), F.abs("n").alias("n")))
-    levels, ended = _relax(edges, rounds)
-    if ended:
+    levels = _peel(edges)
+    left = levels.filter("level is null")
+    if left.isEmpty():
         return levels
+    ahead = cut_lineage(_inside(edges, left))
+    core = _peel(_turned(ahead)).filter("level is null")  # without what only lies behind cycles
+    parts = _components(cut_lineage(_inside(ahead, core)))
     flow = edges.select("field", F.col("b").alias("value"), "n").union(edges.select("field", "a", -F.col("n"))).groupBy("field", "value").agg(F.sum("n").alias("flow"))
-    placed = levels.join(flow, ["field", "value"])
-    side = lambda c: placed.select("field", F.col("value").alias(c), F.col("flow").alias(f"flow_{c}"), (F.col("level") > rounds // 2).alias(f"far_{c}"))
+    placed = cut_lineage(flow.join(parts, ["field", "value"], "left"))
+    side = lambda c: placed.select("field", F.col("value").alias(c), F.col("flow").alias(f"flow_{c}"), F.col("part").alias(f"part_{c}"))
     kept = edges.join(side("a"), ["field", "a"]).join(side("b"), ["field", "b"])
+    cyclic = F.coalesce(F.col("part_a") == F.col("part_b"), F.lit(False))
     down = F.struct("flow_a", "a") < F.struct("flow_b", "b")
-    return _relax(cut_lineage(kept.filter(~(F.col("far_a") & F.col("far_b")) | down).select("field", "a", "b", "n")), rounds)[0]
+    return _peel(cut_lineage(kept.filter(~cyclic | down).select("field", "a", "b", "n")))
 
 
 def survivors(evidence: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:

@@ -53,5 +53,13 @@ def test_a_cycle_of_values_ends(spark):
     assert len(kept(spark, *a)) == 3
 
 
+def test_levels_of_long_chains_and_of_what_lies_behind_cycles(spark):
+    steps = [(f"1.{k}", f"1.{k + 1}") for k in range(12)] + [("1.12", "X"), ("X", "Y"), ("Y", "Z"), ("Z", "X"), ("X", "9"), ("9", "8"), ("8", "P"), ("P", "Q"), ("Q", "R"), ("R", "P")]
+    pairs = [report(f"{n:02}{y}", mode=v, day=y, line=n) for n, s in enumerate(steps) for y, v in enumerate(s)]
+    level = {r.value: r.level for r in value_levels(long_reports(spark.createDataFrame(pairs, SCHEMA))).collect()}
+    assert [level[f"1.{k}"] for k in range(13)] == list(range(13))
+    assert level["1.12"] < level["x"] < level["9"] < level["8"] < level["p"]  # 9 and 8 stand between two cycles, not on one
+
+
 def test_empty(spark):
     assert kept(spark) == []
