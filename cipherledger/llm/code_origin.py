@@ -119,7 +119,7 @@ def file_traits(content: str, path: str) -> dict:
     left, rules, uses = re_pair(ids)
     lines = content.splitlines() or [""]
     lead: list[str] = []
-    for line in lines[:30]:
+    for line in lines:
         if not line.strip() or line.startswith("#!"):
             continue
         if not COMMENT.match(line):

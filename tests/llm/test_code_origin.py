@@ -5,7 +5,7 @@ from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cipherledger.llm.code_origin import file_origins, passages, re_pair
+from cipherledger.llm.code_origin import file_origins, file_traits, passages, re_pair
 
 OWN = "import hashlib\n\n" + "\n".join(f"def {a}_{b}({c}):\n    {d} = {c}.get('{e}')\n    return {d}\n" for a, b, c, d, e in [("seal", "order", "x", "y", "k1"), ("open", "batch", "tenant", "size", "width"), ("merge", "cache", "left", "total", "name"), ("parse", "line", "text", "head", "first")])
 BEAN = "\n".join(f"    public String getField{i:03}() {{ return this.field{i:03}; }}" for i in range(40))
@@ -66,3 +66,10 @@ def test_equal_passages_have_equal_rules_anywhere():
     shared = {r for r, _ in passages(lines)} & {r for r, _ in passages(moved)}
     assert len(shared) >= len(passages(lines)) - 3 > 0
     assert sum(n for _, n in passages(lines)) == len(lines)
+
+
+def test_a_mark_behind_a_long_licence_header_counts():
+    header = "".join(f"// Licence text, paragraph {n}.\n" for n in range(40))
+    mark = "// Code generated by protoc. DO NOT EDIT.\n"
+    assert file_traits(header + mark + "int x = 1;\n", "src/x.c")["generated_mark"]
+    assert not file_traits(header + "int x = 1;\n" + mark, "src/x.c")["generated_mark"]
