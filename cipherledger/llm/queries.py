@@ -16,14 +16,18 @@ from cipherledger.llm.survivors import survivors
 from cipherledger.sources.tables import table
 
 
+#: Evidence snippets are cut off at so many characters by their source.
+SNIPPET_CHARS = 200
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each literal secret of the evidence snippets starts."""
-    return secrets_in(table(spark, sf_dir, "evidence")).select("id", "start_char").distinct()
+    return secrets_in(table(spark, sf_dir, "evidence"), cut_at=SNIPPET_CHARS).select("id", "start_char").distinct()
 
 
 def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every evidence snippet with its secrets masked."""
-    return masked_snippets(table(spark, sf_dir, "evidence"))
+    return masked_snippets(table(spark, sf_dir, "evidence"), cut_at=SNIPPET_CHARS)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Credentials in code snippets: found, located and masked in place.
 
-A keyword automaton passes only the snippets that can hold a credential; formats of issuers and
-literal contexts (assignment, element, flag, header, URL, key constructor, PEM block, ...) propose
-values; structure checks reject placeholders, lookups, patterns, messages and encrypted values;
+A keyword automaton tells which expressions can match a text at all; formats of issuers and literal
+contexts (assignment, element, flag, header, URL, key constructor, PEM block, ...) propose values;
+checksums and structure checks reject placeholders, lookups, patterns, messages and encrypted values;
 what remains is replaced by a placeholder of the same length and alphabet.
 """
 
@@ -12,7 +12,11 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+import unicodedata
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,16 +24,9 @@ from pyspark.sql import functions as F
 
 from cipherledger.functions.scale import spread
 
-# What the automaton looks for, in lower case.
-KEYWORDS = [
-    "pass", "pwd", "_pw", "pw=", "pw:", "pw\"", "pw'", "pw ", "secret", "token", "apikey", "api_key", "api-key", "key", "kennwort", "clave", "contrase",
-    "senha", "wachtwoord", "pin", "credential", "auth", "bearer", "basic ", "login", "://", "equals(", ".new(", "hmac", "akia", "asia", "ghp_", "gho_",
-    "ghs_", "ghu_", "ghr_", "zk_live_", "zk_test_", "plt-", "sk_live_", "rk_live_", "xox", "glpat-", "aiza", "eyj", " -p", " -u ",
-]
-
 #: Formats of issuers: prefix, alphabet and length fix the whole value (fixed values).
 ISSUER_FORMATS = [
-    r"(?:AKIA|ASIA)[0-9A-Z]{16}",
+    r"(?:AKIA|ASIA)[2-7A-Z]{16}",
     r"gh[posur]_[0-9A-Za-z]{36}",
     r"zk_live_[0-9A-Za-z]{28}",
     r"plt-[0-9A-Za-z]{6}-[0-9A-Za-z]{6}-[0-9A-Za-z]{6}-[0-9A-Za-z]{6}",
@@ -88,7 +85,7 @@ COMPARED = re.compile(r"""\.(?:equals|equalsIgnoreCase|contentEquals|compareTo)\
 TOLD = re.compile(r"\b(?:login|credentials?|account|user)\b[^:\n]{0,60}:\s*[\w.@\-]+\s*/\s*(?P<v>\S+)", re.I)
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\s|\\n|\\r|[\"'+])+(?P<m>[0-9A-Za-z+/=]{4,}(?:\s|\\n|\\r|[\"'+]|[0-9A-Za-z/=])*)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?")
 JOINED = re.compile(r"""["']\s*\+\s*\n?\s*["']([^"'\n]*)""")
-CUT_AT, LEFT = 200, 12
+LEFT = 12  #: characters that must be left of a value that was cut off
 
 
 def _secret_name(name: str) -> bool:
@@ -101,15 +98,23 @@ def _key_name(name: str) -> bool:
     return plain.endswith("key") and "public" not in plain
 
 
-def _literal(value: str, cut: bool) -> bool:
+# Words that make a text of several words a message, not a passphrase.
+MESSAGE = frozenset("the a an your you is are was be must has have will can should please enter type choose for not no to of this that with at least and or if in on from wrong invalid required".split())
+
+
+def _message(value: str) -> bool:
+    return value[-1:] in ".!?:" or any(w in MESSAGE for w in re.findall(r"[a-z']+", value.lower()))
+
+
+def _literal(value: str, cut: bool, quoted: bool = True) -> bool:
     """Whether a proposed value is a literal secret, not a placeholder, lookup, pattern, message or encrypted value."""
     if len(value) < (LEFT if cut else 4) or PLACEHOLDER.match(value) or ENCRYPTED.match(value):
         return False
-    if value.count(" ") >= 2 or value.startswith("^") or "${" in value or "{{" in value or "%(" in value:
+    if value.startswith("^") or "${" in value or "{{" in value or "%(" in value or value.count(" ") >= 2 and _message(value):
         return False
     if re.fullmatch(r"[\w.]*\{[\w.]+\}[\w.]*", value) or "://" in value:
         return False
-    return not re.search(r"[\w\]]\(|\[[\"']", value)  # a call or lookup
+    return not re.search(r"^[\w.]+\(.*[\"'].*\)|\[[\"']" if quoted else r"[\w\]]\(|\[[\"']", value)  # a call or lookup
 
 
 def _basic(value: str) -> bool:
@@ -133,47 +138,137 @@ def _bearer(value: str) -> bool:
     return len(value) >= 16 and bool(re.search(r"\d", value))
 
 
-def find_secrets(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of each literal secret of a snippet, by start; spans don't overlap."""
-    cut_here = len(text) >= CUT_AT
+def _issued(value: str) -> bool:
+    """Whether a value in an issuer's format has the structure or checksum of that issuer.
+
+    The last six characters of gh*_ tokens are the CRC-32 of the thirty before in base 62. Tokens of other
+    issuers of that format, and older ones, lack it, so a wrong sum rejects only texts of few different characters.
+    """
+    if value.startswith("eyJ"):
+        return _bearer(value)
+    return not value.startswith("gh") or checksum_holds(value) or len(set(value[4:])) >= 10
+
+
+def checksum_holds(token: str) -> bool:
+    """Whether the last six characters of a gh*_ token are the checksum of those before."""
+    rest, digits = zlib.crc32(token[4:-6].encode()), ""
+    for _ in range(6):
+        rest, k = divmod(rest, 62)
+        digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[k] + digits
+    return token[-6:] == digits
+
+
+_ISSUER = re.compile(r"(?<![0-9A-Za-z_])(?P<v>" + "|".join(ISSUER_FORMATS) + r")(?![0-9A-Za-z])")
+_ISSUER_CUT = re.compile(r"(?<![0-9A-Za-z_])(?P<v>" + ISSUER_PREFIXES + ")")
+
+
+@dataclass(frozen=True)
+class Form:
+    """An expression that proposes values, and texts of which every match holds one (in lower case; of a named form, without separators)."""
+
+    kind: str
+    regex: re.Pattern
+    anchors: tuple[str, ...] = ()
+    named: bool = False
+    quoted: bool = True
+    check: Callable[[str], bool] | None = None
+    cut_only: bool = False
+
+
+def _least(words: tuple[str, ...]) -> tuple[str, ...]:
+    """The words that hold no other of them: a text that holds any word holds one of these."""
+    return tuple(w for w in dict.fromkeys(words) if not any(o != w and o in w for o in words))
+
+
+#: Names end with one of SECRET_ENDS, or with `key` before a decoded literal.
+NAME_ANCHORS = _least((*SECRET_ENDS, "key"))
+ISSUER_ANCHORS = ("akia", "asia", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "zk_live_", "plt-", "sk_live_", "rk_live_", "xox", "glpat-", "aiza", "eyj")
+FORMS = [
+    Form("private_key", PEM, ("private key",)),
+    Form("issuer_token", _ISSUER, ISSUER_ANCHORS, check=_issued),
+    Form("issuer_token", _ISSUER_CUT, ISSUER_ANCHORS, cut_only=True, check=lambda v: len(v) >= LEFT),
+    Form("assigned", ASSIGNED, named=True),
+    Form("argument", ARGUMENT, named=True),
+    Form("assigned", BARE, named=True, quoted=False),
+    Form("element", ELEMENT, named=True),
+    Form("element", PROPERTY, named=True),
+    Form("connection", CONNECTION, ("password=", "pwd=")),
+    Form("assigned", NPMRC, (":_auth", ":_password"), quoted=False),
+    Form("url", URL, ("://",), quoted=False),
+    Form("compared", COMPARED, (".equals", ".contentequals", ".compareto")),
+    Form("comment", TOLD, ("login", "credential", "account", "user"), quoted=False),
+    Form("flag", FLAGS[0], ("pass:",), quoted=False),
+    Form("flag", FLAGS[1], ("storepass", "keypass"), quoted=False),
+    Form("flag", FLAGS[2], ("--pass", "--token", "--secret", "--api-key", "--access-key"), quoted=False),
+    Form("flag", FLAGS[3], ("mysql", "mariadb"), quoted=False),
+    Form("flag", FLAGS[4], ("sshpass", "redis-cli"), quoted=False),
+    Form("flag", FLAGS[5], ("curl",), quoted=False),
+    Form("key_literal", KEY_LITERAL, (".new", "fernet", "secretkeyspec", "createhmac(", "createcipher")),
+    Form("header", HEADER, ("basic", "bearer")),
+]
+_SEPARATOR = re.compile(r"[^0-9a-zñ]+")
+
+
+@cache
+def _automaton(named: bool):
+    import ahocorasick
+
+    words: dict[str, int] = {}
+    for i, form in enumerate(FORMS):
+        for w in (NAME_ANCHORS if named else ()) if form.named else (() if named else form.anchors):
+            words[w] = words.get(w, 0) | 1 << i
+    automaton = ahocorasick.Automaton()
+    for w, forms in words.items():
+        automaton.add_word(w, forms)
+    automaton.make_automaton()
+    return automaton
+
+
+def possible_forms(text: str) -> int:
+    """The forms, one bit each, of which the text holds an anchor; no other form matches it."""
+    low, out = text.lower(), 0
+    for _, forms in _automaton(False).iter(low):
+        out |= forms
+    named = next(_automaton(True).iter(_SEPARATOR.sub("", low)), None)
+    return out | named[1] if named else out
+
+
+def find_secrets(text: str, cut: bool = False, every_form: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of each literal secret of a text, by start; spans don't overlap.
+
+    cut: the text was cut off at its end by its source, so a value that reaches the end counts if LEFT
+    characters of it are left, whatever its closing. every_form tries all forms, not only the possible ones.
+    """
+    possible = -1 if every_form else possible_forms(text)
+    if not possible:
+        return []
     found: list[tuple[int, int, str]] = []
 
-    def propose(m: re.Match, kind: str, check=None) -> None:
+    def propose(m: re.Match, form: Form) -> None:
         start, end = m.span("v")
         value = text[start:end]
-        cut = cut_here and end >= len(text) - 1
-        closed = "end" not in m.re.groupindex or m.group("end") or cut_here
-        joined = JOINED.match(text, end)
-        whole = value + joined.group(1) if joined else value
-        if closed and (check(value) if check else _literal(whole, cut and not joined)):
-            found.append((start, joined.end() if joined else end, kind))
-
-    for m in PEM.finditer(text):
-        first = re.match(r"[0-9A-Za-z+/=]+", m.group("m")).group()
-        if len(first) >= LEFT or cut_here and m.end() == len(text):
-            found.append((m.start(), m.end(), "private_key"))
-    for m in _ISSUER.finditer(text):
-        if not m.group().startswith("eyJ") or _bearer(m.group()):
-            found.append((m.start(), m.end(), "issuer_token"))
-    if cut_here and (m := _ISSUER_CUT.search(text)) and len(m.group()) >= LEFT:
-        found.append((m.start(), m.end(), "issuer_token"))
-    for m in ASSIGNED.finditer(text):
-        if _secret_name(m.group("n")) or (m.group("d") and _key_name(m.group("n"))):
-            propose(m, "assigned")
-    for m in ARGUMENT.finditer(text):
-        if _secret_name(m.group("n")):
-            propose(m, "argument")
-    for rx, kind in ((BARE, "assigned"), (ELEMENT, "element"), (PROPERTY, "element"), (CONNECTION, "connection")):
-        for m in rx.finditer(text):
-            if _secret_name(m.group("n")):
-                propose(m, kind)
-    for rx, kind in ((NPMRC, "assigned"), (URL, "url"), (COMPARED, "compared"), (TOLD, "comment"), *((x, "flag") for x in FLAGS)):
-        for m in rx.finditer(text):
-            propose(m, kind)
-    for m in KEY_LITERAL.finditer(text):
-        propose(m, "key_literal")
-    for m in HEADER.finditer(text):
-        propose(m, "header", _basic if m.group("s") == "Basic" else _bearer)
+        at_end = cut and end >= len(text) - 1
+        if "end" in m.re.groupindex and not m.group("end") and not cut:
+            return
+        joined = end
+        while piece := JOINED.match(text, joined):
+            value, joined = value + piece.group(1), piece.end()
+        check = form.check
+        if form.regex is HEADER:
+            check = _basic if m.group("s") == "Basic" else _bearer
+        if check(text[start:end]) if check else _literal(value, at_end and joined == end, form.quoted):
+            found.append((start, end if check else joined, form.kind))
+
+    for i, form in enumerate(FORMS):
+        if not possible >> i & 1 or form.cut_only and not cut:
+            continue
+        for m in form.regex.finditer(text):
+            if form.regex is PEM:
+                first = re.match(r"[0-9A-Za-z+/=]+", m.group("m")).group()
+                if len(first) >= LEFT or cut and m.end() == len(text):
+                    found.append((m.start(), m.end(), form.kind))
+            elif not form.named or _secret_name(m.group("n")) or form.regex is ASSIGNED and m.group("d") and _key_name(m.group("n")):
+                propose(m, form)
 
     out: list[tuple[int, int, str]] = []
     for start, end, kind in sorted(found, key=lambda x: (x[0], -x[1])):
@@ -183,10 +278,6 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-_ISSUER = re.compile(r"(?<![0-9A-Za-z_])(?:" + "|".join(ISSUER_FORMATS) + r")(?![0-9A-Za-z])")
-_ISSUER_CUT = re.compile(r"(?<![0-9A-Za-z_])" + ISSUER_PREFIXES)
-
-
 def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with each span replaced by a placeholder of its length and alphabet; PEM borders and joins stay."""
     parts, at = [], 0
@@ -202,47 +293,68 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
+#: What must keep its form inside a value: escapes of characters (their digits are replaced), entities.
+_ESCAPE = re.compile(r"(\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|%[0-9A-Fa-f]{2}|\\.|&[A-Za-z]+;|&#\d+;)", re.S)
+_HEX = re.compile(r"(?:0[xX])?[0-9A-Fa-f]+(?:[-: ]?[0-9A-Fa-f]+)*")
+# A letter of each script for which there is one (capital, small); other letters keep to Latin ones.
+_LETTER = {"LATIN": ("Ø", "ø"), "GREEK": ("Α", "α"), "CYRILLIC": ("А", "а"), "HEBREW": ("א", "א"), "ARABIC": ("ا", "ا"), "HIRAGANA": ("あ", "あ"), "KATAKANA": ("ア", "ア"), "HANGUL": ("가", "가"), "CJK": ("一", "一")}
+
+
+def _letter(c: str) -> str:
+    """A letter of the same script and case, a zero of the same digits, else the character itself."""
+    if c.isdecimal():
+        return chr(ord(c) - unicodedata.decimal(c))
+    if not c.isalpha():
+        return c
+    return _LETTER.get(unicodedata.name(c, "LATIN").split()[0], _LETTER["LATIN"])[0 if c.isupper() else 1]
+
+
 def _blank(value: str) -> str:
-    return re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "x", re.sub(r"[A-Z]", "X", value)))
+    """Placeholder of the same length and alphabet: hexadecimal stays hexadecimal, escapes stay escapes, letters keep case and script."""
+    if _HEX.fullmatch(value):
+        head = value[:2] if value[:2] in ("0x", "0X") else ""
+        return head + re.sub(r"[A-F]", "A", re.sub(r"[a-f]", "a", re.sub(r"[0-9]", "0", value[len(head) :])))
+    parts = _ESCAPE.split(value)
+    for i, part in enumerate(parts):
+        if i % 2:
+            digits = len(part) - 2 if part[:1] == "\\" and len(part) > 2 else 2 if part[:1] == "%" else 0
+            parts[i] = part[: len(part) - digits] + "30".rjust(digits, "0") if digits else part
+        else:
+            plain = re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "x", re.sub(r"[A-Z]", "X", part)))
+            parts[i] = plain if plain.isascii() else "".join(c if c.isascii() else _letter(c) for c in plain)
+    return "".join(parts)
 
 
 FINDINGS = "id string, start_char int, end_char int, kind string, masked string"
 
 
-def secrets_in(evidence: DataFrame, key: str = "id", text: str = "snippet") -> DataFrame:
+def secrets_in(evidence: DataFrame, key: str = "id", text: str = "snippet", cut_at: int | None = None) -> DataFrame:
     """id, start_char, end_char, kind, masked: one row per distinct secret of each snippet.
 
     start_char and end_char are 0-based offsets in characters; masked is the whole snippet with
-    all its secrets masked. Null and empty texts hold none; repeated rows count once; whole texts
-    are read whatever their length; rows with a null key keep it. Other columns are not read.
+    all its secrets masked. cut_at: the source cuts its texts off at so many characters, so a text
+    that long may end inside a value; without it texts are whole, however long. Null and empty texts
+    hold none; repeated rows count once; rows with a null key keep it. Other columns are not read.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word in KEYWORDS:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
         for batch in batches:
             rows = []
             for k, t in zip(batch["key"], batch["text"]):
-                if t and next(automaton.iter(t.lower()), None) is not None:
-                    spans = find_secrets(t)
-                    if spans:
-                        masked = mask(t, spans)
-                        rows += [(k, start, end, kind, masked) for start, end, kind in spans]
+                if t and (spans := find_secrets(t, cut_at is not None and len(t) >= cut_at)):
+                    masked = mask(t, spans)
+                    rows += [(k, start, end, kind, masked) for start, end, kind in spans]
             yield pd.DataFrame(rows, columns=["id", "start_char", "end_char", "kind", "masked"])
 
     return spread(evidence.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))).mapInPandas(scan, FINDINGS).dropDuplicates()
 
 
-def masked_snippets(evidence: DataFrame, key: str = "id", text: str = "snippet") -> DataFrame:
-    """id, masked: every row's text with its secrets masked; texts without one stay as they are."""
+def masked_snippets(evidence: DataFrame, key: str = "id", text: str = "snippet", cut_at: int | None = None) -> DataFrame:
+    """id, masked: every row's text with its secrets masked; texts without one stay as they are. cut_at as in secrets_in."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["masked"] = [mask(t, find_secrets(t)) if t else t for t in batch["masked"]]
+            batch["masked"] = [mask(t, find_secrets(t, cut_at is not None and len(t) >= cut_at)) if t else t for t in batch["masked"]]
             yield batch
 
     return spread(evidence.select(F.col(key).cast("string").alias("id"), F.col(text).alias("masked"))).mapInPandas(scan, "id string, masked string")
