@@ -1,8 +1,9 @@
 """Evaluation passages that leaked into documents, whole or in part.
 
-The word n-grams of the passages form a hash set that every task holds; the n-grams of the documents
-are looked up in it; where enough hits of one passage lie together, a banded alignment verifies
-that a long enough stretch of the passage is there, some words altered or left out.
+What items share without sharing a passage, their instructions, is found over all items first. The word
+n-grams of the passages form a hash set that every task holds; the n-grams of the documents are looked up in
+it; where enough hits of one passage lie together, a banded alignment verifies that a long enough stretch of
+the passage is there, some words altered or left out. Documents, or the stretches alone, can be removed.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherledger.functions.scale import spread
+from cipherledger.functions.scale import cut_lineage, salted_join, spread
 
 WORD = re.compile(r"[^\W_]+")
 #: Markup that stands for no word: tags and entities.
@@ -29,39 +30,91 @@ BAND = 6  #: words left out or put in, within one stretch
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _plain(text: str) -> str:
+    """The text in lower case with markup blanked out, character for character."""
+    text = MARKUP.sub(lambda m: " " * len(m.group()), text)
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def words(text: str) -> list[str]:
     """Words in lower case, without punctuation and markup."""
-    return WORD.findall(MARKUP.sub(" ", text).lower())
+    return WORD.findall(_plain(text))
 
 
-def passages_of(items: list[tuple[int, str]]) -> list[tuple[list[str], np.ndarray, list[int]]]:
-    """(words, number of each word when compounds count once, item ids) of each distinct passage.
+def sentences(text: str | None) -> list[tuple[str, str]]:
+    """(words, sentence) of each sentence with words before the question mark-up."""
+    return [(k, s) for s in SENTENCE.split(QUESTION.split(text or "")[0]) if (k := " ".join(words(s)))]
 
-    What follows the question mark-up is cut off. A sentence that two items share, while they share
-    nothing else, is an instruction if it is shorter than a stretch that leaks or MANY items have it;
-    the sentences without instructions are the passage.
-    """
-    cut = {i: [s for s in SENTENCE.split(QUESTION.split(text or "")[0]) if words(s)] for i, text in items}
-    keys = {i: [" ".join(words(s)) for s in parts] for i, parts in cut.items()}
+
+def _pieces(passage: str) -> tuple[list[str], np.ndarray]:
+    """(words, number of each word when compounds count once) of a passage."""
+    pieces = [x for x in map(words, passage.split()) if x]
+    return [w for x in pieces for w in x], np.repeat(np.arange(len(pieces)), [len(x) for x in pieces])
+
+
+def passages_of(items: list[tuple[int, str]]) -> list[tuple[list[str], np.ndarray, list[int]]]:
+    """(words, number of each word when compounds count once, item ids) of each distinct passage of a few items; see instructions."""
+    cut = {i: sentences(text) for i, text in sorted(items, key=lambda x: x[0])}
+    keys = {i: {k for k, _ in parts} for i, parts in cut.items()}
     having: dict[str, list[int]] = {}
     for i, parts in keys.items():
-        for k in set(parts):
+        for k in parts:
             having.setdefault(k, []).append(i)
     short = {k: ids for k, ids in having.items() if len(k.split()) < LEAST or len(ids) >= MANY}
-    told = {k for k, ids in short.items() if any(not (set(keys[ids[0]]) & set(keys[i])) - {k} for i in ids[1:])}
-    # instructions may come in pairs: without the known ones, look again
-    told |= {k for k, ids in short.items() if any(not (set(keys[ids[0]]) & set(keys[i])) - {k} - told for i in ids[1:])}
+    told: set[str] = set()
+    for _ in range(2):
+        told |= {k for k, ids in short.items() if any(not keys[ids[0]] & keys[i] - {k} - told for i in ids[1:])}
     out: dict[str, tuple[np.ndarray, list[int]]] = {}
     for i, parts in cut.items():
-        kept = [s for s, k in zip(parts, keys[i]) if k not in told]
-        pieces = [words(x) for x in " ".join(kept).split()]
-        pieces = [x for x in pieces if x]
-        if pieces:
-            place = np.repeat(np.arange(len(pieces)), [len(x) for x in pieces])
-            out.setdefault(" ".join(w for x in pieces for w in x), (place, []))[1].append(i)
+        text, place = _pieces(" ".join(s for k, s in parts if k not in told))
+        if text:
+            out.setdefault(" ".join(text), (place, []))[1].append(i)
     return [(text.split(), place, ids) for text, (place, ids) in out.items()]
 
 
+def _item_sentences(items: DataFrame) -> DataFrame:
+    """item_id, at, key, sentence: the sentences of each item in order; repeated items count once."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, at, k, s) for i, text in zip(batch["item_id"], batch["text"]) for at, (k, s) in enumerate(sentences(text))]
+            yield pd.DataFrame(rows, columns=["item_id", "at", "key", "sentence"])
+
+    known = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    return known.mapInPandas(cut, "item_id long, at int, key string, sentence string")
+
+
+def instructions(parts: DataFrame) -> DataFrame:
+    """key: the sentences that are instructions, from the sentences of all items.
+
+    A sentence that two items share, while they share nothing else, is an instruction if it is shorter than a
+    stretch that leaks or MANY items have it. Instructions may come in pairs, so without the known ones the items
+    are looked at again. Of a sentence's items each is compared with the first one only, so no pairs multiply.
+    """
+    held = parts.select("item_id", "key").distinct()
+    shared = held.groupBy("key").agg(F.count("*").alias("n"), F.min("item_id").alias("first")).filter("n > 1")
+    shared = shared.filter((F.size(F.split("key", " ")) < LEAST) | (F.col("n") >= MANY))
+    pairs = salted_join(held, shared, ["key"], ["item_id"]).filter("item_id <> first").select("key", "first", "item_id")
+    of_first = held.select(F.col("item_id").alias("first"), F.col("key").alias("other"))
+    both = pairs.join(of_first, "first").join(held.withColumnRenamed("key", "other"), ["item_id", "other"]).filter("other <> key")
+    common = cut_lineage(pairs.join(both.select("key", "item_id", "other"), ["key", "item_id"], "left"))
+    told = common.groupBy("key", "item_id").agg(F.count("other").alias("n")).filter("n = 0").select("key").distinct()
+    again = common.join(told.withColumnRenamed("key", "other").withColumn("known", F.lit(1)), "other", "left")
+    more = again.groupBy("key", "item_id").agg(F.count(F.when(F.col("known").isNull(), F.col("other"))).alias("n")).filter("n = 0").select("key").distinct()
+    return told.union(more).distinct()
+
+
+def item_passages(items: DataFrame) -> DataFrame:
+    """item_id, passage, passage_id: each item's text without question and instructions; items of one passage share its id."""
+    parts = cut_lineage(_item_sentences(items))
+    kept = parts.join(instructions(parts), "key", "left_anti")
+    whole = kept.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "sentence"))).alias("p"))  # an item's own sentences
+    spoken = F.concat_ws(" ", F.transform("p", lambda x: x.sentence))
+    key = kept.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("k")).select("item_id", F.concat_ws(" ", F.transform("k", lambda x: x.key)).alias("k"))
+    return whole.select("item_id", spoken.alias("passage")).join(key, "item_id").select("item_id", "passage", F.xxhash64("k").alias("passage_id"))
+
+
 def _grams(ids: np.ndarray) -> np.ndarray:
     """Hashes of the n-grams of word numbers, one for each start; 0 where a word has no number."""
     if len(ids) < N:
@@ -103,45 +156,46 @@ class PassageIndex:
         return where, self.of[slot], self.at[slot]
 
 
-def align(passage: np.ndarray, place: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(span, errors) of the best stretch of each pair; a row of both arrays is a pair, 0 pads.
+def align(passage: np.ndarray, place: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(span, errors, begin, end) of the best stretch of each pair; a row of the arrays is a pair, 0 pads.
 
     window[c, j + k] is the document's word for the passage's word j at shift k of the band. A match
     scores 1; a word altered, left out or put in costs 2. Of the stretches that end in a match and keep
     within the error bound the longest counts; place[c, j] numbers words so that a compound is one.
+    begin and end are the first and last word of the stretch in the window.
     """
     n, length = passage.shape
     width = window.shape[1] - length + 1
     bad = -1000
     score = np.full((n, width), 0)
     start = np.zeros((n, width), dtype=np.int64)
+    origin = np.tile(np.arange(width), (n, 1))
     errors = np.zeros((n, width), dtype=np.int64)
-    best_span, best_errors = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    best = np.zeros((4, n), dtype=np.int64)
+    rows = np.arange(n)
     for j in range(length):
         word = passage[:, j]
         same = (window[:, j : j + width] == word[:, None]) & (word[:, None] > 0)
-        to, s, e = score + np.where(same, 1, -2), start.copy(), errors + ~same
+        to, s, o, e = score + np.where(same, 1, -2), start.copy(), origin.copy(), errors + ~same
         left = np.concatenate([score[:, 1:], np.full((n, 1), bad)], axis=1) - 2  # the passage's word is left out
         up = left > to
         to = np.where(up, left, to)
-        s = np.where(up, np.concatenate([start[:, 1:], start[:, -1:]], axis=1), s)
-        e = np.where(up, np.concatenate([errors[:, 1:], errors[:, -1:]], axis=1) + 1, e)
+        s, o, e = (np.where(up, np.concatenate([x[:, 1:], x[:, -1:]], axis=1) + more, y) for x, y, more in ((start, s, 0), (origin, o, 0), (errors, e, 1)))
         for k in range(1, width):  # a word is put in
             up1 = to[:, k - 1] - 2 > to[:, k]
             to[:, k] = np.where(up1, to[:, k - 1] - 2, to[:, k])
-            s[:, k] = np.where(up1, s[:, k - 1], s[:, k])
-            e[:, k] = np.where(up1, e[:, k - 1] + 1, e[:, k])
+            for x, more in ((s, 0), (o, 0), (e, 1)):
+                x[:, k] = np.where(up1, x[:, k - 1] + more, x[:, k])
         fresh = to <= 0
         score, start, errors = np.where(fresh, 0, to), np.where(fresh, j + 1, s), np.where(fresh, 0, e)
+        origin = np.where(fresh, j + 1 + np.arange(width)[None, :], o)
         begin = np.take_along_axis(place, np.minimum(start, length - 1), axis=1)
         span = np.where(same & ~fresh, place[:, j : j + 1] - begin + 1, 0)
         good = np.where(errors <= allowed(span), span, 0)
         k = good.argmax(axis=1)
-        got = good[np.arange(n), k]
-        more = got > best_span
-        best_span = np.where(more, got, best_span)
-        best_errors = np.where(more, errors[np.arange(n), k], best_errors)
-    return best_span, best_errors
+        got = np.stack([good[rows, k], errors[rows, k], origin[rows, k], j + k])
+        best = np.where(got[0] > best[0], got, best)
+    return tuple(best)
 
 
 def allowed(span: np.ndarray) -> np.ndarray:
@@ -149,8 +203,8 @@ def allowed(span: np.ndarray) -> np.ndarray:
     return np.floor(span * 0.13)
 
 
-def leaks_in(index: PassageIndex, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-    """(text, passage, span, errors, place) for each passage of which a text holds a long enough stretch."""
+def leaks_in(index: PassageIndex, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
+    """(text, passage, span, errors, first word, last word) for each passage of which a text holds a long enough stretch."""
     number, ids, bounds = index.number, [], [0]
     for text in texts:
         ids += [number.get(w, 0) for w in words(text or "")]
@@ -198,35 +252,49 @@ def leaks_in(index: PassageIndex, texts: list[str]) -> list[tuple[int, int, int,
             inner = slice(max(lo, bounds[t]), min(hi, bounds[t + 1]))
             if inner.start < inner.stop:
                 window[r, inner.start - lo : inner.stop - lo] = flat[inner]
-        span, errors = align(passage, place, window)
-        found += [(t, k, int(s), int(e), d - bounds[t]) for (t, k, d), s, e in zip(part, span, errors) if s >= LEAST]
+        for (t, k, d), s, e, first_word, last_word in zip(part, *align(passage, place, window)):
+            if s >= LEAST:
+                lo = d - BAND - bounds[t]
+                found.append((t, k, int(s), int(e), int(lo + first_word), int(lo + last_word)))
     return found
 
 
-LEAKS = "doc_id long, item_id long, words int, errors int, at_word int"
-#: Items whose n-grams are held by each task at a time; more items take more passes.
-BLOCK_ITEMS = 20_000
+LEAKS = "doc_id long, passage_id long, words int, errors int, at_word int"
+#: Bytes of passages whose n-grams are held by each task at a time (the index takes about four times as much); more passages take more passes.
+BLOCK_BYTES = 16_000_000
 #: Characters that a task looks up at once.
 CHUNK_CHARS = 4_000_000
 
 
-def leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def _index_blocks(passages: DataFrame, block_items: int | None, block_bytes: int) -> Iterator:
+    """Broadcast indexes over the distinct passages (passage_id, passage), each of about block_bytes or block_items at most."""
+    once = passages.groupBy("passage_id").agg(F.min("passage").alias("passage"))
+    size = once.agg(F.coalesce(F.sum(F.octet_length("passage")), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    blocks = max(1, -(-size.bytes // block_bytes), -(-size.n // block_items) if block_items else 1)
+    for b in range(blocks):
+        part = once.filter(F.pmod(F.xxhash64("passage_id"), F.lit(blocks)) == b).collect()
+        index = PassageIndex([(*_pieces(r.passage), [r.passage_id]) for r in sorted(part, key=lambda r: r.passage_id)])
+        yield passages.sparkSession.sparkContext.broadcast(index)
+
+
+def _readable(documents: DataFrame) -> DataFrame:
+    return spread(documents.filter("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long"), "text"))
+
+
+def leaks(documents: DataFrame, items: DataFrame, block_items: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, words, errors, at_word: each document that holds a stretch of an item's passage.
 
     A stretch is LEAST or more words of the passage in succession, about one in ten altered or left
-    out; words is the passage's words it spans, errors how many differ, at_word roughly the
-    document's word where the passage would start. Items that share a passage leak together. Whole
-    texts are read. Null and empty texts and items hold nothing; rows with a null id are left out;
-    a repeated document counts once, by its longest stretch. Items are taken in blocks of
-    block_items, so what is broadcast is bounded; every block sees all documents.
+    out; words is the passage's words it spans, errors how many differ, at_word the document's word
+    where it begins. Items that share a passage leak together. Whole texts are read. Null and empty
+    texts and items hold nothing; rows with a null id are left out; a repeated document counts once,
+    by its longest stretch. What is broadcast is bounded: passages are taken in blocks of about
+    block_bytes (and block_items, where given), each of which sees all documents, so the blocks
+    decide the number of passes and never the result.
     """
-    known = items.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
-    blocks = -(-known.count() // block_items) or 1
+    known = cut_lineage(item_passages(items))
     out = None
-    for b in range(blocks):
-        part = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        index = PassageIndex(passages_of([(r.item_id, r.text) for r in part]))
-        held = documents.sparkSession.sparkContext.broadcast(index)
+    for held in _index_blocks(known, block_items, block_bytes):
 
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             index = held.value
@@ -235,16 +303,61 @@ def leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS
                 rows = []
                 for _, chunk in batch.groupby(cuts, sort=False):
                     ids = chunk["doc_id"].tolist()
-                    for t, k, span, errors, place in leaks_in(index, chunk["text"].tolist()):
-                        rows += [(ids[t], item, span, errors, max(0, place)) for item in index.items[k]]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "errors", "at_word"])
+                    for t, k, span, errors, begin, _ in leaks_in(index, chunk["text"].tolist()):
+                        rows += [(ids[t], passage, span, errors, begin) for passage in index.items[k]]
+                yield pd.DataFrame(rows, columns=["doc_id", "passage_id", "words", "errors", "at_word"])
 
-        found = spread(documents.filter("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long"), "text")).mapInPandas(scan, LEAKS)
+        found = _readable(documents).mapInPandas(scan, LEAKS)
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("words", (-F.col("errors")).alias("e"), (-F.col("at_word")).alias("w"))).alias("b")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.words").alias("words"), (-F.col("b.e")).alias("errors"), (-F.col("b.w")).alias("at_word"))
+    longest = out.groupBy("doc_id", "passage_id").agg(best)
+    members = longest.join(known.select("passage_id", "item_id"), "passage_id")
+    return members.select("doc_id", "item_id", F.col("b.words").alias("words"), (-F.col("b.e")).alias("errors"), (-F.col("b.w")).alias("at_word"))
 
 
 def without_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no stretch of any item's passage."""
     return documents.join(leaks(documents, items).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def cut_stretches(index: PassageIndex, text: str) -> tuple[str, int, int]:
+    """(text, stretches, words): the text without its stretches of passages, how many were removed and their words.
+
+    What is left is looked at again until nothing is found, as a passage may stand there twice or in parts.
+    """
+    stretches = removed = 0
+    while found := leaks_in(index, [text]):
+        at = [m.span() for m in WORD.finditer(_plain(text))]
+        gone = np.zeros(len(at) + 1, dtype=bool)
+        for *_, begin, end in found:
+            gone[max(0, begin) : end + 1] = True
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(int)))
+        parts, last = [], 0
+        for begin, end in zip(edges[::2], edges[1::2]):
+            parts.append(text[last : at[begin][0]])
+            last = at[end - 1][1]
+        text = "".join([*parts, text[last:]])
+        stretches, removed = stretches + len(edges) // 2, removed + int(gone.sum())
+    return text, stretches, removed
+
+
+def redacted(documents: DataFrame, items: DataFrame, block_items: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, text, stretches, words_removed: the documents with the leaked stretches cut out, the rest as it was.
+
+    Documents without a leak keep their text; null and empty texts and null ids have no row; a repeated row is
+    one row of its own. Every block of passages is one more pass, over the texts that the one before left.
+    """
+    zero = F.lit(0)
+    out = _readable(documents).withColumns({"stretches": zero, "words_removed": zero})
+    for held in _index_blocks(cut_lineage(item_passages(items)), block_items, block_bytes):
+
+        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                texts = batch["text"].tolist()
+                for t in {t for t, *_ in leaks_in(held.value, texts)}:
+                    text, stretches, removed = cut_stretches(held.value, texts[t])
+                    batch.iloc[t, 1:] = [text, batch.iat[t, 2] + stretches, batch.iat[t, 3] + removed]
+                yield batch
+
+        out = out.mapInPandas(scan, "doc_id long, text string, stretches int, words_removed int")
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherledger.llm.code_origin import file_origins
-from cipherledger.llm.contamination import leaks, without_leaks
+from cipherledger.llm.contamination import leaks, redacted, without_leaks
 from cipherledger.llm.mixing import mix_sources, mixture_report
 from cipherledger.llm.reading import reading_levels, train
 from cipherledger.llm.secrets import masked_snippets, secrets_in
@@ -62,6 +62,12 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "lang", "source", "project")
 
 
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents from which leaked stretches were cut out: how many, how many words, and how long the rest is."""
+    texts = redacted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return texts.filter("stretches > 0").select("doc_id", "stretches", "words_removed", F.length("text").alias("n_chars"))
+
+
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mixture, in the order in which the sources are served."""
     selection, _, _ = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p7_clean": p7_clean,
+    "p7_redacted": p7_redacted,
     "p8_selection": p8_selection,
     "p8_shares": p8_shares,
     "p9_found": p9_found,

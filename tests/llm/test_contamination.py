@@ -3,7 +3,7 @@ import random
 import pytest
 from conftest import rows
 
-from cipherledger.llm.contamination import PassageIndex, leaks, leaks_in, passages_of, without_leaks, words
+from cipherledger.llm.contamination import PassageIndex, cut_stretches, item_passages, leaks, leaks_in, passages_of, redacted, without_leaks, words
 
 random.seed(5)
 VOCABULARY = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
@@ -94,3 +94,34 @@ def test_brute_force_agrees_on_whole_stretches(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string, words int")
     i = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert without_leaks(d, i).count() == len(docs) - len({x for x, _ in want})
+
+
+def test_instructions_are_found_over_all_items(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = {}
+    for r in item_passages(items).collect():
+        got.setdefault(r.passage_id, [words(r.passage), []])[1].append(r.item_id)
+    assert sorted((w, sorted(ids)) for w, ids in got.values()) == sorted((w, ids) for w, _, ids in passages_of(ITEMS))
+
+
+@pytest.mark.parametrize("how", [{"block_items": 1}, {"block_items": 7}, {"block_items": 20_000}, {"block_bytes": 500}])
+def test_blocks_never_change_the_result(spark, how):
+    told = "Consider the following text with care and then decide which one of the four answers given below it fits best of all in your view."
+    items = [(100 + i, f"{told} {' '.join(text(40, 300 + i))}. Question: x") for i in range(2)] + ITEMS
+    docs = [(1, filler(1) + " " + told + " " + filler(2), 1), (2, filler(3) + " " + " ".join(text(40, 300)) + " " + filler(4), 1), (3, " ".join(PASSAGES[0]), 1)]
+    many = [(20 + i, f"{told} {' '.join(text(40, 400 + i))}.") for i in range(4)]
+    assert found(spark, docs, [*items, *many], **how) == [(2, 100), (3, 0), (3, 6)]
+
+
+def test_stretches_are_cut_out_and_the_rest_stays(spark):
+    index = PassageIndex(passages_of(ITEMS))
+    part = " ".join(f"**{w.upper()}**" for w in PASSAGES[1][5:40])
+    assert cut_stretches(index, f"Before it, {part} and after.") == ("Before it, **** and after.", 1, 35)
+    twice = f"One {' '.join(PASSAGES[1][:25])} two, {' '.join(PASSAGES[1][:25])} three {' '.join(PASSAGES[2][20:50])}."
+    assert cut_stretches(index, twice) == ("One  two,  three .", 3, 80)
+    assert cut_stretches(index, "Nothing here.") == ("Nothing here.", 0, 0)
+    docs = spark.createDataFrame([(1, twice, 1), (2, "Nothing here.", 1), (3, None, 1), (None, twice, 1)], "doc_id long, text string, words int")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for how in ({}, {"block_items": 2}):
+        assert rows(redacted(docs, items, **how), "doc_id", "text", "stretches", "words_removed") == [(1, "One  two,  three .", 3, 80), (2, "Nothing here.", 0, 0)]
+    assert redacted(docs.limit(0), items).count() == 0
