@@ -12,7 +12,7 @@ from cipherledger.llm.contamination import leaks, redacted, without_leaks
 from cipherledger.llm.mixing import mix_sources, mixture_report
 from cipherledger.llm.reading import reading_levels, train
 from cipherledger.llm.secrets import masked_snippets, secrets_in
-from cipherledger.llm.survivors import survivors
+from cipherledger.llm.survivors import agreement, survivors
 from cipherledger.sources.tables import table
 
 
@@ -35,6 +35,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(table(spark, sf_dir, "evidence")).select("group_id", "field_name", "survivor_id")
 
 
+def p3_withheld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the learned order of values gives the survivor that the times give, half of the times being withheld."""
+    return agreement(table(spark, sf_dir, "evidence"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files that are generated, minified, vendored or data."""
     return file_origins(table(spark, sf_dir, "source_file")).filter("origin <> 'own'").select("file_id")
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_masked": p1_masked,
     "p3_found": p3_found,
+    "p3_withheld": p3_withheld,
     "p5_found": p5_found,
     "p5_origins": p5_origins,
     "p7_found": p7_found,

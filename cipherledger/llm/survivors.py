@@ -3,7 +3,7 @@
 Currency reasoning: timestamped reports show which values of a field follow which others. The
 majority of the observed transitions gives a precedence graph over values; its levels embed each
 group's partial order. Where reports lack a timestamp, the topologically latest value is the most
-current one; where all have one, the timestamps themselves are the order.
+current one; where all have one, the timestamps themselves are the order and nothing is learned.
 """
 
 from __future__ import annotations
@@ -137,6 +137,42 @@ def value_levels(reports: DataFrame) -> DataFrame:
     return _peel(cut_lineage(kept.filter(~cyclic | down).select("field", "a", "b", "n")))
 
 
+def _reports(evidence: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """k1, k2, id, rank, at, fields: one row per report, its group as a hash of 128 bits, its values cleaned."""
+    path = plain_path(F.col("file_path"))
+    key = ["scan_id", "line_number", "raw_type"]
+    known = evidence.filter(" and ".join(f"{c} is not null" for c in [*key, "file_path", "id"]))
+    values = [field_value(evidence, f).alias(f) for f in fields]
+    return known.select(F.xxhash64(F.lit(1), *key, path).alias("k1"), F.xxhash64(F.lit(2), *key, path).alias("k2"), "id", provenance_rank().alias("rank"), F.col("recorded_at").alias("at"), *values)
+
+
+def _micros() -> Column:
+    return F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-(2**62)))
+
+
+def _by_time(reports: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Survivors of the groups whose reports all have a time: one aggregate by group, all fields at once."""
+    best = [F.min(F.when(F.col(f).isNotNull(), F.struct((-F.col("rank")).alias("rank"), (-_micros()).alias("at"), "id", F.col(f).alias("value")))).alias(f) for f in fields]
+    kept = reports.groupBy("k1", "k2").agg(F.min("id").alias("group_id"), F.max("id").alias("_last"), *best).filter("group_id <> _last")
+    long = kept.select("group_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"{f}.id").alias("survivor_id"), F.col(f"{f}.value").alias("value")) for f in fields])).alias("s"))
+    return long.select("group_id", "s.*").filter("survivor_id is not null")
+
+
+def _by_level(reports: DataFrame, levels: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Survivors of groups in which times are missing: by the level of the value where a best report lacks its time."""
+    values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
+    long = reports.select("k1", "k2", "id", "rank", "at", F.explode(values).alias("_v")).select("k1", "k2", "id", "rank", "at", "_v.*", F.lower("_v.value").alias("_l"))
+    placed = salted_join(long, levels.withColumnRenamed("value", "_l"), ["field", "_l"], ["id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    valued = F.col("value").isNotNull()
+    rank, late = (-F.col("rank")).alias("rank"), (-_micros()).alias("at")
+    by_time = F.min(F.when(valued, F.struct(rank, late, "id", "value")))
+    by_level = F.min(F.when(valued, F.struct(rank, (-F.col("level")).alias("level"), late, "id", "value")))
+    untimed = F.max(F.when(valued, F.struct("rank", F.col("at").isNull().alias("missing"))))
+    kept = placed.groupBy("k1", "k2", "field").agg(F.min("id").alias("group_id"), F.max("id").alias("_last"), by_time.alias("_t"), by_level.alias("_l"), untimed.alias("_u"))
+    pick = F.when(F.col("_u.missing"), F.struct("_l.id", "_l.value")).otherwise(F.struct("_t.id", "_t.value"))
+    return kept.filter("group_id <> _last and _t is not null").select("group_id", F.col("field").alias("field_name"), pick.alias("_p")).select("group_id", "field_name", F.col("_p.id").alias("survivor_id"), F.col("_p.value").alias("value"))
+
+
 def survivors(evidence: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """group_id, field_name, survivor_id, value: for each group and field the report whose value is kept.
 
@@ -147,18 +183,35 @@ def survivors(evidence: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     ones last, decides among equals. Fields without any value have no row; repeated rows count
     once; other columns are not read; no evidence, no rows.
 
-    Hot groups: every step aggregates by group and field with map-side combine, so a group's
-    rows are never in one task; only its distinct values meet.
+    The order of values is learned, from all timed reports, only where some report lacks its time; groups
+    without such a report go by their times in one aggregate. Hot groups: every step aggregates by group with
+    map-side combine, so a group's rows are never in one task; only its distinct values meet.
     """
-    reports = long_reports(evidence, fields)
-    levels = value_levels(reports).withColumnRenamed("value", "_v")
-    placed = salted_join(reports.withColumn("_v", F.lower("value")), levels, ["field", "_v"], ["id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    valued = F.col("value").isNotNull()
-    micros = F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-(2**62)))
-    rank, late = (-F.col("rank")).alias("rank"), (-micros).alias("at")
-    by_time = F.min(F.when(valued, F.struct(rank, late, "id", "value")))
-    by_level = F.min(F.when(valued, F.struct(rank, (-F.col("level")).alias("level"), late, "id", "value")))
-    untimed = F.max(F.when(valued, F.struct("rank", F.col("at").isNull().alias("missing"))))
-    kept = placed.groupBy(*GROUP, "field").agg(F.min("id").alias("group_id"), F.max("id").alias("_last"), by_time.alias("_t"), by_level.alias("_l"), untimed.alias("_u"))
-    pick = F.when(F.col("_u.missing"), F.struct("_l.id", "_l.value")).otherwise(F.struct("_t.id", "_t.value"))
-    return kept.filter("group_id <> _last and _t is not null").select("group_id", F.col("field").alias("field_name"), pick.alias("_p")).select("group_id", "field_name", F.col("_p.id").alias("survivor_id"), F.col("_p.value").alias("value"))
+    reports = _reports(evidence, fields)
+    untimed = reports.filter("at is null")
+    if untimed.isEmpty():
+        return _by_time(reports, fields)
+    levels = value_levels(long_reports(evidence, fields))
+    groups = untimed.select("k1", "k2").distinct()
+    timed = reports.join(groups, ["k1", "k2"], "left_anti")
+    others = salted_join(reports, groups, ["k1", "k2"], ["id"])
+    return _by_time(timed, fields).unionByName(_by_level(others, levels, fields))
+
+
+def agreement(evidence: DataFrame, share: int = 2, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """field_name, n_groups, learned, same_value: how well the learned order replaces times that are withheld.
+
+    Every share-th report, by a hash of its id, loses its recorded_at; n_groups counts the groups and fields that have a
+    survivor, learned those whose reports have two values or more, so that an order decides, and same_value those of them whose
+    kept value is the one that all times together give, without case.
+    """
+    times = F.when(F.pmod(F.xxhash64("id"), F.lit(share)) != 0, F.col("recorded_at"))
+    held = cut_lineage(survivors(evidence.withColumn("recorded_at", times), fields))
+    whole = survivors(evidence, fields).withColumnRenamed("value", "true_value").drop("survivor_id")
+    reports = long_reports(evidence, fields).filter("value is not null")
+    best = reports.groupBy(*GROUP, "field").agg(F.max("rank").alias("rank"))
+    tied = reports.join(best, [*GROUP, "field", "rank"]).groupBy(*GROUP, "field").agg(F.min(F.lower("value")).alias("a"), F.max(F.lower("value")).alias("z"))
+    named = long_reports(evidence, fields).groupBy(*GROUP, "field").agg(F.min("id").alias("group_id")).join(tied.filter("a <> z"), [*GROUP, "field"]).select("group_id", F.col("field").alias("field_name"), F.lit(1).alias("open"))
+    both = whole.join(held, ["group_id", "field_name"]).join(named, ["group_id", "field_name"], "left")
+    same = (F.col("open") == 1) & (F.lower("value") == F.lower("true_value"))
+    return both.groupBy("field_name").agg(F.count("*").alias("n_groups"), F.count("open").alias("learned"), F.count_if(same).alias("same_value"))

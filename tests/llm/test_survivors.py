@@ -2,7 +2,7 @@ import datetime as dt
 
 from conftest import rows
 
-from cipherledger.llm.survivors import survivors, value_levels, long_reports
+from cipherledger.llm.survivors import agreement, long_reports, survivors, value_levels
 
 T = dt.datetime(2024, 1, 1)
 SCHEMA = "id string, scan_id string, file_path string, line_number int, raw_type string, detected_name string, key_length int, curve_name string, version_or_mode string, metadata struct<detector: string, parameters_resolved: boolean>, recorded_at timestamp_ntz, rank int"
@@ -63,3 +63,17 @@ def test_levels_of_long_chains_and_of_what_lies_behind_cycles(spark):
 
 def test_empty(spark):
     assert kept(spark) == []
+
+
+def test_a_long_chain_decides_where_times_are_missing(spark):
+    chain = [report(f"{n:02}{y}", mode=f"v{n + y:02}", day=y, line=n) for n in range(13) for y in (0, 1)]
+    untimed = [report("u1", mode="v09", day=None, line=99), report("u2", mode="v13", day=None, line=99)]
+    assert ("u1", "version_or_mode", "u2") in kept(spark, *chain, *untimed)
+    timed = [report("w1", mode="v13", day=1, line=98), report("w2", mode="v09", day=2, line=98)]  # its own times hold
+    assert ("w1", "version_or_mode", "w2") in kept(spark, *chain, *untimed, *timed)
+
+
+def test_agreement_where_times_are_withheld(spark):
+    history = [x for n in range(40) for x in (report(f"{n:03}a", name="DES", day=1, line=n), report(f"{n:03}b", name="AES", day=2, line=n))]
+    (got,) = rows(agreement(spark.createDataFrame(history, SCHEMA)), "field_name", "n_groups", "learned", "same_value")
+    assert got == ("detected_name", 40, 40, 40)
