@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def trimmed(c: Column) -> Column:
     """Without outer white space of any kind; null and blank both become the empty text."""
-    return F.coalesce(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    return F.coalesce(F.btrim(c, F.lit(" \t\n\x0b\f\r")), F.lit(""))
 
 
 def slashed(c: Column) -> Column:
