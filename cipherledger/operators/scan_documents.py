@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherledger.operators.shredding import element_table, elements, last_readable, shred
+from cipherledger.functions.scale import cut_lineage
+from cipherledger.operators.shredding import last_readable, owned, shred
 
 _LOCATION = {".": None, "location": {".": None, "path": None}}
 #: The parts of a scan document that the flat tables need.
@@ -21,9 +22,8 @@ SCAN_SHAPE = {
 }
 
 
-def scan_leaves(documents: DataFrame) -> DataFrame:
-    """Leaves of each scan's last readable document, with element numbers e1 to e3."""
-    return elements(shred(last_readable(documents, "scan_id", "received_at", "document"), "scan_id", "document", SCAN_SHAPE, wrapper="result"), 3)
+#: Leaves that name the outermost elements: artefacts by their id, assessments by what they are filed under.
+OWNERS = {"artefacts": "artefacts.id", "risk_assessments": "risk_assessments.artefact_id"}
 
 
 def scan_children(documents: DataFrame) -> DataFrame:
@@ -33,20 +33,19 @@ def scan_children(documents: DataFrame) -> DataFrame:
     artefact without an id has no rows, as its rows could not be told apart. Assessments are filed
     under their key in a map, else under their artefact_id. Empty tables give no rows.
     """
-    leaves = scan_leaves(documents)
-    e1, e2, e3 = (F.col(c) for c in ("e1", "e2", "e3"))
-    zero = F.lit(0)
-    ids = element_table(leaves, ["artefacts.id"], 1, "artefact_id", [e1])
-    filed = leaves.filter((F.col("path") == "risk_assessments.artefact_id") & (F.col("def") >= 1))
-    filed = filed.select("key", "e1", F.coalesce("map_key", "value").alias("artefact_id")).filter("artefact_id is not null")
-
-    def children(paths: list[str], level: int, child: str, parent_pos: Column, pos: Column) -> DataFrame:
-        return element_table(leaves, paths, level, "value", [e1, F.lit(child).alias("child"), parent_pos.alias("parent_pos"), pos.alias("pos")])
-
-    of_artefacts = children(["artefacts.occurrences.", "artefacts.occurrences.location.", "artefacts.occurrences.location.path"], 2, "occurrence", zero, e2).unionByName(children(["artefacts.known_vulnerabilities.aliases"], 3, "alias", e2, e3))
-    verdicts = children(["risk_assessments.model_verdicts.", "risk_assessments.model_verdicts.model"], 2, "verdict", zero, e2)
-    both = of_artefacts.join(ids, ["key", "e1"]).unionByName(verdicts.join(filed, ["key", "e1"]))
-    return both.select(F.col("key").alias("scan_id"), "artefact_id", "child", "parent_pos", "pos", "value")
+    leaves = shred(last_readable(documents, "scan_id", "received_at", "document"), "scan_id", "document", SCAN_SHAPE, 3, wrapper="result")
+    occurrence, alias, verdict = (
+        ["artefacts.occurrences.", "artefacts.occurrences.location.", "artefacts.occurrences.location.path"],
+        ["artefacts.known_vulnerabilities.aliases"],
+        ["risk_assessments.model_verdicts.", "risk_assessments.model_verdicts.model"],
+    )
+    path = F.col("path")
+    child = F.when(path.isin(occurrence), "occurrence").when(path.isin(alias), "alias").otherwise("verdict")
+    depth = F.when(path.isin(alias), 3).otherwise(2)
+    present = leaves.filter(path.isin(list(OWNERS.values())) | F.col("value").isNotNull() & (F.col("def") >= depth))
+    rows = owned(present, OWNERS, [*occurrence, *alias, *verdict]).filter("owner is not null")
+    nested = child == "alias"
+    return rows.select(F.col("key").alias("scan_id"), F.col("owner").alias("artefact_id"), child.alias("child"), F.when(nested, F.col("e2")).otherwise(0).alias("parent_pos"), F.when(nested, F.col("e3")).otherwise(F.col("e2")).alias("pos"), "value")
 
 
 REGISTER_SHAPE = {
@@ -71,12 +70,6 @@ _RISK = ["artefact_id", "risk_category", "shelf_life_x", "migration_time_y", "is
 SEVERITIES = ["critical", "high", "moderate", "low"]
 
 
-def _objects(leaves: DataFrame, prefix: str, names: list[str]) -> DataFrame:
-    """key, e1 and one column for each named leaf of the elements under `prefix`."""
-    own = leaves.filter(F.col("path").isin([f"{prefix}.{n}" for n in names]) & (F.col("def") >= 1))
-    return own.groupBy("key", "e1").agg(*[F.max(F.when(F.col("path") == f"{prefix}.{n}", F.col("value"))).alias(n.rpartition(".")[2]) for n in names], F.max("map_key").alias("map_key"))
-
-
 def register_rows(documents: DataFrame) -> DataFrame:
     """Register rows of each scan's last readable document: artefacts with their assessment, where there is one.
 
@@ -84,18 +77,24 @@ def register_rows(documents: DataFrame) -> DataFrame:
     map key, else its artefact_id; of several for one artefact the larger values count. Artefacts without an id
     keep their row; missing overdue marks are false.
     """
-    leaves = elements(shred(last_readable(documents, "scan_id", "received_at", "document"), "scan_id", "document", REGISTER_SHAPE, wrapper="result"), 2)
-    assets = _objects(leaves, "artefacts", _ARTEFACT).drop("map_key")
-    risks = _objects(leaves, "risk_assessments", _RISK)
-    risks = risks.withColumn("id", F.coalesce("map_key", "artefact_id")).filter("id is not null")
-    risks = risks.groupBy("key", "id").agg(*[F.max(c).alias(c) for c in _RISK[1:]])
+    leaves = shred(last_readable(documents, "scan_id", "received_at", "document"), "scan_id", "document", REGISTER_SHAPE, 2, wrapper="result")
+    value_at = lambda p: F.max(F.when(F.col("path") == p, F.col("value")))
     severity = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.when(F.lower("value") == "medium", "moderate").otherwise(F.lower("value")))
-    advisories = leaves.filter((F.col("path") == "artefacts.known_vulnerabilities.severity") & (F.col("def") >= 2)).groupBy("key", "e1").agg(F.count("*").alias("advisories"), F.min(F.when(severity > 0, severity)).alias("worst"))
-    names = leaves.filter("path = 'summary.target_name'").select("key", F.col("value").alias("system_name"))
-    out = assets.join(risks, ["key", "id"], "left").join(advisories, ["key", "e1"], "left").join(names, "key", "left")
+    advisory = (F.col("path") == "artefacts.known_vulnerabilities.severity") & (F.col("def") >= 2)
+    # one aggregate by element over all leaves, so documents are read once; everything else comes from this table
+    elements = leaves.groupBy("key", F.substring_index("path", ".", 1).alias("part"), "e1").agg(
+        *[value_at(f"artefacts.{n}").alias(n.rpartition(".")[2]) for n in _ARTEFACT], *[value_at(f"risk_assessments.{n}").alias(n) for n in _RISK], F.max("map_key").alias("map_key"),
+        value_at("summary.target_name").alias("system_name"), F.count(F.when(advisory, 1)).alias("advisories"), F.min(F.when(advisory & (severity > 0), severity)).alias("worst"),
+    )
+    elements = cut_lineage(elements)
+    assets = elements.filter("part = 'artefacts' and e1 is not null").select("key", *[n.rpartition(".")[2] for n in _ARTEFACT], "advisories", "worst")
+    risks = elements.filter("part = 'risk_assessments' and e1 is not null").withColumn("id", F.coalesce("map_key", "artefact_id")).filter("id is not null")
+    risks = risks.groupBy("key", "id").agg(*[F.max(c).alias(c) for c in _RISK[1:]])
+    names = elements.filter("part = 'summary'").select("key", "system_name")
+    out = assets.join(risks, ["key", "id"], "left").join(names, "key", "left")
     return out.select(
         F.col("key").alias("scan_id"), F.coalesce("system_name", F.lit("Unknown system")).alias("system_name"), F.col("id").alias("artefact_id"), "name", "type", "algorithm_family", "algorithm_class", "quantum_vulnerability", "target_type", "location",
-        F.coalesce("advisories", F.lit(0)).cast("int").alias("known_vulnerability_count"), F.get(F.array(*map(F.lit, SEVERITIES)), F.col("worst").cast("int") - 1).alias("worst_severity"),
+        F.col("advisories").cast("int").alias("known_vulnerability_count"), F.get(F.array(*map(F.lit, SEVERITIES)), F.col("worst").cast("int") - 1).alias("worst_severity"),
         "risk_category", F.col("shelf_life_x").try_cast("double").alias("shelf_life_x"), F.col("migration_time_y").try_cast("double").alias("migration_time_y"), F.coalesce(F.col("is_overdue") == "true", F.lit(False)).alias("is_overdue"), "binding_model",
     )
 
@@ -112,32 +111,25 @@ TABLES_SHAPE = {
 }
 
 
-def _elements_of(leaves: DataFrame, prefix: str, names: dict[str, list[str]]) -> DataFrame:
-    """key, e1, pos and one column for each name (from the first of its leaf paths that has a value) of the elements at `prefix`."""
-    paths = {f"{prefix}{p}": name for name, ps in names.items() for p in ps}
-    own = leaves.filter(F.col("path").isin(list(paths)) & (F.col("def") >= 2))
-    columns = [F.coalesce(*[F.max(F.when(F.col("path") == f"{prefix}{p}", F.col("value"))) for p in ps]).alias(name) for name, ps in names.items()]
-    return own.groupBy("key", "e1", F.col("e2").alias("pos")).agg(*columns)
-
-
 def scan_tables(documents: DataFrame) -> dict[str, DataFrame]:
     """The child tables occurrences, advisories and verdicts of each scan's last readable document.
 
     Each row knows its scan_id, artefact_id and pos in its array; every element has a row, also one
-    without values. Rows of artefacts without an id, and of assessments filed under none, are left out.
+    without values. Of several shapes of a field the first that has a value counts. Rows of artefacts
+    without an id, and of assessments filed under none, are left out.
     """
-    leaves = elements(shred(last_readable(documents, "scan_id", "received_at", "document"), "scan_id", "document", TABLES_SHAPE, wrapper="result"), 2)
-    ids = element_table(leaves, ["artefacts.id"], 1, "artefact_id", [F.col("e1")])
-    filed = leaves.filter((F.col("path") == "risk_assessments.artefact_id") & (F.col("def") >= 1))
-    filed = filed.select("key", "e1", F.coalesce("map_key", "value").alias("artefact_id")).filter("artefact_id is not null")
+    leaves = shred(last_readable(documents, "scan_id", "received_at", "document"), "scan_id", "document", TABLES_SHAPE, 2, wrapper="result")
     named = {
-        "occurrences": (ids, "artefacts.occurrences", {"location": [".", ".location.", ".location.path"], "line_number": [".line_number"], "snippet": [".snippet"]}),
-        "advisories": (ids, "artefacts.known_vulnerabilities", {"advisory_id": [".id"], "severity": [".severity"], "fixed_version": [".fixed_version"]}),
-        "verdicts": (filed, "risk_assessments.model_verdicts", {"model": [".model"], "at_risk": [".at_risk"], "slack_years": [".slack_years"], "must_start_by": [".must_start_by"], "low": [".probability.low"], "high": [".probability.high"]}),
+        "occurrences": ("artefacts.occurrences", {"location": [".", ".location.", ".location.path"], "line_number": [".line_number"], "snippet": [".snippet"]}),
+        "advisories": ("artefacts.known_vulnerabilities", {"advisory_id": [".id"], "severity": [".severity"], "fixed_version": [".fixed_version"]}),
+        "verdicts": ("risk_assessments.model_verdicts", {"model": [".model"], "at_risk": [".at_risk"], "slack_years": [".slack_years"], "must_start_by": [".must_start_by"], "low": [".probability.low"], "high": [".probability.high"]}),
     }
     typed = {"line_number": "int", "slack_years": "double", "low": "double", "high": "double", "at_risk": "boolean"}
     out = {}
-    for table, (owners, prefix, names) in named.items():
-        rows = _elements_of(leaves, prefix, names).join(owners, ["key", "e1"])
+    for table, (prefix, names) in named.items():
+        paths = [f"{prefix}{p}" for ps in names.values() for p in ps]
+        own = owned(leaves, {k: v for k, v in OWNERS.items() if prefix.startswith(k)}, paths).filter((F.col("def") >= 2) & F.col("owner").isNotNull())
+        columns = [F.coalesce(*[F.max(F.when(F.col("path") == f"{prefix}{p}", F.col("value"))) for p in ps]).alias(name) for name, ps in names.items()]
+        rows = own.groupBy("key", "part", "e1", F.col("e2").alias("pos")).agg(F.max("owner").alias("artefact_id"), *columns)
         out[table] = rows.select(F.col("key").alias("scan_id"), "artefact_id", "pos", *[F.col(c).try_cast(typed.get(c, "string")).alias(c) for c in names])
     return out

@@ -3,8 +3,9 @@
 Every document is cut into its leaves; a leaf carries the path, its order in the document, a
 repetition level (the depth of the repeated ancestor that this leaf starts a new element of; 0
 starts the document) and a definition level (how many repeated ancestors are present). The flat
-tables are rebuilt from these levels alone: running counts over a path's level sequence give the
-element numbers, and leaves of different paths meet on the element numbers of shared ancestors.
+tables are rebuilt from these levels alone: running counts over a path's level sequence, taken while
+the document is at hand, give the element numbers, and leaves of different paths meet on the element
+numbers of shared ancestors.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ import json
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Shape: a name maps to None (leaf), to a dict (object), to [shape] (repeated) or to {"*": shape} (map, repeated).
 Shape = Mapping[str, object]
 
-LEAVES = "key string, path string, seq long, rep int, def int, map_key string, value string"
+LEAVES = "key string, path string, rep int, def int, map_key string, value string"
 
 
 def _entry(name: str, value: object, shape: object, path: str, rep: int, depth: int) -> Iterator[tuple]:
@@ -78,15 +79,31 @@ def _absent(shape: object, path: str, rep: int, depth: int) -> Iterator[tuple]:
             yield from _absent(part, f"{path}." if name == "." else f"{path}.{name}", rep, depth)
 
 
-def shred(documents: DataFrame, key: str, document: str, shape: Shape, wrapper: str | None = None) -> DataFrame:
-    """key, path, seq, rep, def, map_key, value: the leaves of each document named in `shape`.
+def element_numbers(counters: dict[str, list[int]], path: str, rep: int, depth: int, levels: int) -> list[int | None]:
+    """e1 .. e<levels>: the number, from 0, of a leaf's element at each repeated ancestor, from the level sequence of its path.
+
+    counters holds the running counts of each path of one document. A leaf that starts a new element of level rep counts
+    that level on and starts the inner ones anew; a level beyond the leaf's definition level has no number.
+    """
+    at = counters.setdefault(path, [0] * levels)
+    if rep:
+        at[rep - 1] += 1
+        at[rep:] = [0] * (levels - rep)
+    return [n if k < depth else None for k, n in enumerate(at)]
+
+
+def shred(documents: DataFrame, key: str, document: str, shape: Shape, levels: int, wrapper: str | None = None) -> DataFrame:
+    """key, path, rep, def, map_key, value, e1 .. e<levels>: the leaves of each document named in `shape`, in one pass.
 
     A document is JSON text; its content may be wrapped in an object under `wrapper`. Text that
     isn't JSON of an object, and null, yield no leaves. Parts that the shape doesn't name are skipped.
+    Leaves without a value outside every repeated part are left out once they are counted.
     """
+    names = ["key", "path", "rep", "def", "map_key", "value", *[f"e{k + 1}" for k in range(levels)]]
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for k, text in zip(batch["key"], batch["document"]):
                 try:
                     root = json.loads(text)
@@ -96,35 +113,34 @@ def shred(documents: DataFrame, key: str, document: str, shape: Shape, wrapper:
                     root = root[wrapper]
                 if not isinstance(root, dict):
                     continue
-                rows: list[tuple] = []
-                for seq, leaf in enumerate(_body(root, shape, "", 0, 0)):
-                    rows.append((k, leaf[0], seq, *leaf[1:]))
+                counters: dict[str, list[int]] = {}
+                for path, rep, depth, map_key, value in _body(root, shape, "", 0, 0):
+                    numbers = element_numbers(counters, path, rep, depth, levels)
+                    if depth or value is not None:
+                        rows.append((k, path, rep, depth, map_key, value, *numbers))
                     if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["key", "path", "seq", "rep", "def", "map_key", "value"])
+                        yield pd.DataFrame(rows, columns=names)
                         rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["key", "path", "seq", "rep", "def", "map_key", "value"])
+            yield pd.DataFrame(rows, columns=names)
 
-    return documents.select(F.col(key).alias("key"), F.col(document).alias("document")).mapInPandas(leaves, LEAVES)
+    schema = ", ".join([LEAVES, *[f"e{k + 1} int" for k in range(levels)]])
+    return documents.select(F.col(key).alias("key"), F.col(document).alias("document")).mapInPandas(leaves, schema)
 
 
-def elements(leaves: DataFrame, levels: int) -> DataFrame:
-    """Adds e1 .. e<levels>: the number, from 0, of the leaf's element at each repeated ancestor.
+def owned(leaves: DataFrame, owners: dict[str, str], paths: list[str], level: int = 1) -> DataFrame:
+    """The leaves of `paths` with `owner`: what the owning leaf of their outermost element is called, null where it has no name.
 
-    Reconstructed from the level sequence of each (key, path): e1 counts the entries with
-    rep <= 1, e<k> restarts whenever an outer element starts. A level beyond the leaf's definition
-    level is null. The window of one path of one document is ordered by seq and may spill.
+    owners: outermost part to the path of its naming leaf; a map's key names an element before that leaf does. Leaves and
+    their owner meet in one shuffle by document, part and element, which never hold more than one document did.
     """
-    run = Window.partitionBy("key", "path").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = leaves
-    for k in range(1, levels + 1):
-        outer = [f"_o{k}"]
-        # _o: which element of the next outer level this leaf is in; e restarts with it
-        out = out.withColumn(outer[0], F.sum((F.col("rep") < k).cast("long")).over(run))
-        inner = Window.partitionBy("key", "path", outer[0]).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        started = F.sum((F.col("rep") <= k).cast("long")).over(inner) - 1
-        out = out.withColumn(f"e{k}", F.when(F.col("def") >= k, started).cast("int")).drop(outer[0])
-    return out
+    part = F.substring_index("path", ".", 1)
+    named = F.lit(False)
+    for prefix, path in owners.items():
+        named = named | (F.col("path") == path)
+    wanted = leaves.filter((F.col("path").isin(paths) | named) & (F.col("def") >= level)).withColumn("part", part)
+    same = Window.partitionBy("key", "part", "e1")
+    owner = F.max(F.when(named, F.coalesce("map_key", "value"))).over(same)
+    return wanted.withColumn("owner", owner).filter(F.col("path").isin(paths))
 
 
 def last_readable(documents: DataFrame, key: str, received: str, document: str) -> DataFrame:
@@ -134,15 +150,8 @@ def last_readable(documents: DataFrame, key: str, received: str, document: str)
     depend on the order of rows. Rows with a null key are left out.
     """
     text = F.col(document)
-    readable = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
+    readable = F.try_parse_json(text).isNotNull() & F.startswith(F.ltrim(F.translate(text, "\t\r\n", "   ")), F.lit("{"))
     never = F.lit("0001-01-01").cast(documents.schema[received].dataType)
-    moment = F.struct(F.coalesce(F.col(received), never).alias("at"), F.xxhash64(text).alias("hash")).alias("_moment")
-    good = documents.filter(F.col(key).isNotNull() & F.coalesce(readable, F.lit(False))).select(key, document, moment)
-    last = good.groupBy(key).agg(F.max("_moment").alias("_moment"))
-    return good.join(last, [key, "_moment"]).select(key, document).dropDuplicates([key])
-
-
-def element_table(leaves: DataFrame, paths: list[str], level: int, value: str, keep: list[Column]) -> DataFrame:
-    """Rows of the elements at `level` that have a value under one of `paths` (several shapes of one field)."""
-    found = leaves.filter(F.col("path").isin(paths) & (F.col("def") >= level) & F.col("value").isNotNull())
-    return found.select("key", *keep, F.col("value").alias(value))
+    moment = F.struct(F.coalesce(F.col(received), never).alias("at"), F.xxhash64(text).alias("hash"))
+    good = documents.filter(F.col(key).isNotNull() & F.coalesce(readable, F.lit(False)))
+    return good.groupBy(key).agg(F.max_by(text, moment).alias(document))
