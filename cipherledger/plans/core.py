@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cipherledger.operators.scan_documents import scan_children, scan_tables
-from cipherledger.operators.schema_drift import FIELDS, OTHER_NAMES, drift, typed_table
+from cipherledger.operators.schema_drift import FIELDS, OTHER_NAMES, drift, path_drift, typed_table
 from cipherledger.operators.snapshot_changes import Compared, snapshot_changes
 from cipherledger.sources.tables import table
 
@@ -31,6 +31,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift(table(spark, sf_dir, "raw_record"))
 
 
+def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of paths at any depth between consecutive export files of each feed."""
+    return path_drift(table(spark, sf_dir, "raw_record"))
+
+
 def p4_risk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk assessments of all export files in uniform types."""
     return typed_table(table(spark, sf_dir, "raw_record"), "MoscaRiskAssessment")
@@ -50,7 +55,7 @@ def _p6_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: scan_tables(table(spark, sf_dir, "scan_document"))[name]
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_risk_table": p4_risk_table, "p4_request_table": p4_request_table, "p6_found": p6_found, **{f"p6_{t}": _p6_table(t) for t in ("occurrences", "advisories", "verdicts")}}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_paths": p4_paths, "p4_risk_table": p4_risk_table, "p4_request_table": p4_request_table, "p6_found": p6_found, **{f"p6_{t}": _p6_table(t) for t in ("occurrences", "advisories", "verdicts")}}
 
 _TEXTS = ", ".join(f"coalesce(trim({c}), '') AS {c}" for c in REGISTER_COMPARED.texts)
 _DATES = ", ".join(f"regexp_replace(coalesce(trim({c}), ''), '[T ]00:00:00$', '') AS {c}" for c in REGISTER_COMPARED.dates)

@@ -3,7 +3,7 @@ import json
 
 from conftest import rows
 
-from cipherledger.operators.schema_drift import drift, typed_table
+from cipherledger.operators.schema_drift import drift, path_drift, typed_table
 
 T = dt.datetime(2024, 1, 1)
 SCHEMA = "feed_name string, file_name string, entity string, exported_at timestamp_ntz, delivered_at timestamp_ntz, line_no int, payload string, kind string"
@@ -63,3 +63,30 @@ def test_typed_table_reports_failed_casts(spark):
         (None, False, "hndl", day, day, ["shelf_life_x"]),
         (None, None, None, None, None, ["must_start_by"]),
     ]
+
+
+def named(field, n=40):
+    return {"shelf_life_x": [0.5 + k % 30 for k in range(n)], "owner": [f"team-{k % 12}" for k in range(n)], "binding_model": [["mosca", "hndl", "regulatory"][k % 3] for k in range(n)]}[field]
+
+
+def test_renames_to_names_that_no_list_holds(spark):
+    a = [{"artefact_id": str(k), "shelf_life_x": x, "owner": o} for k, (x, o) in enumerate(zip(named("shelf_life_x"), named("owner")))]
+    b = [{"artefact_id": str(k), "life_in_years": x, "ownerTeam": o} for k, (x, o) in enumerate(zip(named("shelf_life_x"), named("owner")))]
+    df = records(spark, [("1", a), ("2", b), ("3", b), ("4", a)])
+    assert found(df) == [("2", "ownerTeam", "renamed"), ("2", "shelf_life_x", "renamed"), ("4", "owner", "renamed"), ("4", "shelf_life_x", "renamed")]
+    got = typed_table(df, "MoscaRiskAssessment")
+    assert got.filter("shelf_life_x is null").count() == 0
+
+
+def test_fields_without_anything_in_common_are_removed_and_added(spark):
+    a = [{"artefact_id": str(k), "owner": o, "flag": True} for k, o in enumerate(named("owner"))]
+    b = [{"artefact_id": str(k), "ticket": f"T{k * 7919}", "done": True} for k in range(40)]
+    assert found(records(spark, [("1", a), ("2", b)])) == [("2", "done", "added"), ("2", "flag", "removed"), ("2", "owner", "removed"), ("2", "ticket", "added")]
+
+
+def test_paths_at_any_depth(spark):
+    one = [{"artefact_id": "a", "where": {"path": "p", "line": 1}, "tags": [{"k": 1}]}] * 3
+    two = [{"artefact_id": "a", "where": {"path": "p", "line": "1", "row": 2}, "tags": [{"v": 1}, 2]}] * 3
+    got = rows(path_drift(records(spark, [("1", one), ("2", two)])), "path", "change_kind")
+    assert got == [("tags[]", "retyped"), ("tags[].k", "removed"), ("tags[].v", "added"), ("where.line", "retyped"), ("where.row", "added")]
+    assert path_drift(records(spark, [])).count() == 0
