@@ -18,13 +18,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cipherledger.functions.scale import spread
+from cipherledger.functions.scale import cut_lineage, spread
 
 LEVELS = 4
 #: Graded documents that the regression is fitted to, at most (those with the smallest hash of their id).
 FIT_DOCUMENTS = 3000
-#: Words whose corpus frequency is looked up, the most frequent ones; others count as rare.
-KNOWN_WORDS = 50_000
+#: Graded documents longer than this are not fitted to, so what the driver holds is bounded: FIT_DOCUMENTS * FIT_CHARS.
+FIT_CHARS = 20_000
+#: Rarity ends here: words that are rarer among all words count as this rare. No more than 1 / RAREST words can be more frequent.
+RAREST = 2e-6
 LEAST_WORDS = 40
 
 WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
@@ -205,20 +207,26 @@ def _hash_order(c: Column) -> Column:
     return F.xxhash64(c)
 
 
-def train(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS, known_words: int = KNOWN_WORDS) -> ReadingModel | None:
-    """The model of these documents: counts over all of them, regression over at most fit_documents graded ones.
+def word_rarity(counts: DataFrame, rarest: float = RAREST) -> dict[str, float]:
+    """Rarity (minus the logarithm of the share among all words) of every word that is no rarer than `rarest`.
+
+    All words count in the shares; at most 1 / rarest words can reach that share, which bounds what comes to the driver.
+    """
+    held = cut_lineage(counts)
+    total = held.agg(F.sum("n").alias("n")).first().n or 1
+    return {r.word: float(-np.log(r.n / total)) for r in held.filter(F.col("n") >= rarest * total).collect()}
+
+
+def train(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS, fit_chars: int = FIT_CHARS, rarest: float = RAREST) -> ReadingModel | None:
+    """The model of these documents: counts over all of them, regression over at most fit_documents graded ones of at most fit_chars.
 
     labels: doc_id, reading_level. Several raters count by their mean, a half rounded down; levels outside 1 to LEVELS and graded documents without enough English prose are left out.
     Without any graded document there is no model: None.
     """
-    counts = word_counts(documents)
-    top = counts.orderBy(F.desc("n"), "word").limit(known_words).collect()
-    total = max(1, sum(r.n for r in top))
-    rarity = {r.word: float(-np.log(r.n / total)) for r in top}
-    rarest = max(rarity.values(), default=0.0) + 1.0
+    rarity = word_rarity(word_counts(documents), rarest)
     graded = labels.filter(F.col("reading_level").between(1, LEVELS)).groupBy("doc_id").agg(F.round(F.avg("reading_level") - 1e-6).cast("int").alias("level"))
-    chosen = graded.orderBy(_hash_order(F.col("doc_id")), "doc_id").limit(fit_documents)
-    rows = _english_prose(documents).join(chosen, "doc_id").dropDuplicates(["doc_id"]).collect()
+    short = _english_prose(documents).filter(F.length("text") <= fit_chars)
+    rows = short.join(graded, "doc_id").dropDuplicates(["doc_id"]).orderBy(_hash_order(F.col("doc_id")), "doc_id").limit(fit_documents).collect()
     docs, texts, y = [], [], []
     for r in sorted(rows, key=lambda r: r.doc_id):
         text = prose(r.text)
@@ -229,7 +237,7 @@ def train(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCU
             y.append(r.level)
     if not docs:
         return None
-    return fit_model(docs, texts, np.array(y), rarity, rarest)
+    return fit_model(docs, texts, np.array(y), rarity, float(-np.log(rarest)))
 
 
 def reading_levels(documents: DataFrame, model: ReadingModel | None) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from conftest import rows
 
-from cipherledger.llm.reading import features, fit_ordinal, is_english, prose, reading_levels, train
+from cipherledger.llm.reading import features, fit_ordinal, is_english, prose, reading_levels, train, word_rarity
 
 LEVEL_WORDS = {
     1: "cat dog ball red big small run play tree house friend happy little".split(),
@@ -78,3 +78,15 @@ def test_every_word_counts_for_diversity():
         same = features(["w"] * n, "w", {}, 1.0, {})[3]
         for i in range(n):
             assert features(["w"] * i + ["v"] + ["w"] * (n - i - 1), "w", {}, 1.0, {})[3] > same
+
+
+def test_rarity_counts_every_word_and_ends_at_a_share(spark):
+    counts = spark.createDataFrame([("a", 900), ("b", 90), ("c", 9), ("d", 1)], "word string, n long")
+    got = word_rarity(counts, 0.005)
+    assert set(got) == {"a", "b", "c"} and abs(got["a"] + np.log(0.9)) < 1e-9 and word_rarity(counts.limit(0)) == {}
+
+
+def test_long_graded_documents_are_not_fitted_to(spark):
+    docs, schema, labels = tables(spark, 24)
+    df = spark.createDataFrame(docs, schema)
+    assert train(df, labels, fit_chars=10) is None and train(df, labels, fit_documents=12) is not None
