@@ -2,8 +2,8 @@
 
 Each file's tokens are compressed by Re-Pair: the most frequent pairs of neighbours become rules
 until no pair repeats often enough. How much of the file its rules absorb, and how often they are
-reused, tells generated code; literals that take most of the text and hardly compress tell data;
-long lines of short names tell minified code. Passages are also parsed into rules whose names
+reused, tells generated code; literals that take most of the text and whose characters Re-Pair hardly
+shortens tell data; long lines of short names tell minified code. Passages are also parsed into rules whose names
 depend on their content only, so that equal passages have equal rules in every file; rules found
 in several repositories tell vendored copies, also patched ones.
 """
@@ -23,14 +23,23 @@ from cipherledger.functions.scale import cut_lineage, salted_join, spread
 from cipherledger.functions.text import plain_path
 
 TOKEN = re.compile(r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`]*`)|(0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|([A-Za-z_$][\w$]*)|([^\s\w])""")
+DIGITS = re.compile(r"\d+")
+#: Literals must take so much of a file that is data.
+DATA_SHARE = 0.7
 COMMENT = re.compile(r"^\s*(?:#|//|/?\*|--|<!--|;)")
 
-# What generators and minifiers write into a file's leading comment.
+# What generators write into a file's leading comment, in several languages. "Do not edit" alone counts only
+# where it ends its sentence: own files forbid the change of one part.
 GENERATED_MARK = re.compile(
-    r"code generated by|auto[- ]?generated by|<auto-generated|@generated|do not edit|automatically (?:created|generated) (?:from|by)|generated by the protocol buffer|this file (?:was|is) (?:auto)?generated|(?:will be lost|overwritten)[^\n]*(?:regenerat|$)|manual changes? (?:is|are|will be) (?:overwritten|lost)",
-    re.I,
+    r"code generated by|auto[- ]?generated by|<auto-generated|@generated|automatically (?:created|generated) (?:from|by)|generated by the protocol buffer|this file (?:was|is) (?:auto)?generated"
+    r"|do not (?:edit|modify)(?: this file| by hand| manually| directly)*\s*(?:[.!*]|-->|$)|(?:will be lost|overwritten)[^\n]*(?:regenerat|$)|manual changes? (?:is|are|will be) (?:overwritten|lost)"
+    r"|(?:automatisch )?(?:erzeugt|generiert) (?:von|aus) |nicht (?:von hand|manuell) (?:ändern|bearbeiten)|généré(?: automatiquement)? (?:par|à partir)|ne pas modifier"
+    r"|generado(?: automáticamente)? (?:por|a partir)|no (?:editar|modificar) (?:a mano|manualmente)|gerado(?: automaticamente)? (?:por|a partir)|não editar|gegenereerd (?:door|uit)|niet (?:handmatig )?bewerken",
+    re.I | re.M,
 )
-VENDOR_MARK = re.compile(r"\(c\) \d{4}[^\n]* Authors|this file is part of|released under the [\w .-]+ licen[cs]e|SPDX-License-Identifier|licensed under the (?:MIT|Apache|BSD)", re.I)
+#: A licence alone tells nothing about whose file it is; it counts beside a passage that other repositories have, too.
+LICENCE_MARK = re.compile(r"SPDX-License-Identifier|licensed under the (?:MIT|Apache|BSD)", re.I)
+VENDOR_MARK = re.compile(r"\(c\) \d{4}[^\n]* Authors|this file is part of|released under the [\w .-]+ licen[cs]e", re.I)
 # Directories that hold generated or third-party files whatever their names.
 GENERATED_PATH = re.compile(r"(?:^|/)(?:build/gen|generated|gen-src|__generated__|autogen)/|\.designer\.\w+$|_pb2(?:_grpc)?\.py$|\.pb\.(?:go|cc|h)$|\.g\.(?:cs|dart)$", re.I)
 VENDOR_PATH = re.compile(r"(?:^|/)(?:node_modules|third[_-]?party|externals?|bower_components|site-packages|Pods)/|(?:^|/)vendor/[\w.@-]+?-v?\d+(?:\.\d+)+/|(?:^|/)vendor/(?:github\.com|golang\.org)/", re.I)
@@ -48,7 +57,12 @@ def re_pair(tokens: np.ndarray, least: int = 3) -> tuple[int, int, int]:
     fresh, rules, uses = int(seq.max()) + 1 if len(seq) else 0, 0, 0
     while len(seq) > 3:
         pair = seq[:-1] * (fresh + 1) + seq[1:]
-        names, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
+        order = np.argsort(pair, kind="stable")
+        ordered = pair[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        counts = np.diff(np.append(first, len(pair)))
+        inverse = np.empty(len(pair), dtype=np.int64)
+        inverse[order] = np.repeat(np.arange(len(first)), counts)
         top = counts.max()
         if top < least:
             break
@@ -62,13 +76,15 @@ def re_pair(tokens: np.ndarray, least: int = 3) -> tuple[int, int, int]:
             head[start] = start
             run = np.arange(len(hit)) - np.maximum.accumulate(head)
         take = np.flatnonzero(hit & (run % 2 == 0))
-        used, made = np.unique(inverse[take], return_inverse=True)
+        used = np.zeros(len(first), dtype=np.int64)
+        used[inverse[take]] = 1
         seq = seq.copy()
-        seq[take] = fresh + made
+        seq[take] = fresh + np.cumsum(used)[inverse[take]] - 1
         keep = np.ones(len(seq), dtype=bool)
         keep[take + 1] = False
         seq = seq[keep]
-        rules, uses, fresh = rules + len(used), uses + len(take), fresh + len(used)
+        made = int(used.sum())
+        rules, uses, fresh = rules + made, uses + len(take), fresh + made
     return len(seq), rules, uses
 
 
@@ -95,28 +111,35 @@ def passages(lines: list[str], levels: int = 2) -> list[tuple[int, int]]:
     return symbols
 
 
+def literal_ratio(text: str) -> float:
+    """Size of the Re-Pair grammar of a text's characters, in bits, as a share of the text's: near-incompressible texts stay large."""
+    if len(text) <= 200:
+        return 0.0
+    codes = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_inverse=True)[1]
+    left, rules, _ = re_pair(codes)
+    return float((left + 2 * rules) * np.log2(codes.max() + 1 + rules) / (8 * len(codes))) if codes.max() else 0.0
+
+
 def file_traits(content: str, path: str) -> dict:
     """Features of one file: its Re-Pair grammar, literals, lines and marks."""
-    kinds: list[str] = []
+    number_of: dict[str, int] = {}
+    ids: list[int] = []
     literal, names, name_len = [], 0, 0
     for m in TOKEN.finditer(content):
-        text, number, name, other = m.groups()
-        if text is not None:
-            literal.append(text)
-            kinds.append("S")
-        elif number is not None:
-            literal.append(number)
-            kinds.append("0")
-        elif name is not None:
+        kind, token = m.lastindex, m.group()
+        if kind == 3:
             names += 1
-            name_len += len(name)
-            kinds.append(re.sub(r"\d+", "0", name) if len(name) < 40 else "S")
-            if len(name) >= 40:
-                literal.append(name)
-        else:
-            kinds.append(other)
-    ids = np.unique(np.array(kinds, dtype=object), return_inverse=True)[1] if kinds else np.zeros(0, dtype=np.int64)
-    left, rules, uses = re_pair(ids)
+            name_len += len(token)
+            if len(token) >= 40:
+                literal.append(token)
+                token = "S"
+            elif not token.isalpha():
+                token = DIGITS.sub("0", token)
+        elif kind < 3:
+            literal.append(token)
+            token = "S" if kind == 1 else "0"
+        ids.append(number_of.setdefault(token, len(number_of)))
+    left, rules, uses = re_pair(np.array(ids, dtype=np.int64))
     lines = content.splitlines() or [""]
     lead: list[str] = []
     for line in lines:
@@ -130,19 +153,20 @@ def file_traits(content: str, path: str) -> dict:
     literals = "".join(literal)
     long_run = sum(len(x) for x in re.findall(r"[A-Za-z0-9+/=]{50,}", content))
     packed = literals if len(literals) >= long_run else "".join(re.findall(r"[A-Za-z0-9+/=]{50,}", content))
-    body = packed.encode()
+    share = min(1.0, max(len(literals), long_run) / max(1, len(solid)))
     return {
-        "tokens": len(kinds),
+        "tokens": len(ids),
         "left": left,
         "reuse": uses / rules if rules else 0.0,
-        "literal_share": min(1.0, max(len(literals), long_run) / max(1, len(solid))),
-        "literal_ratio": len(zlib.compress(body)) / len(body) if len(body) > 200 else 0.0,
+        "literal_share": share,
+        "literal_ratio": literal_ratio(packed) if share >= DATA_SHARE else 0.0,
         "line_chars": max(len(x) for x in lines),
         "mean_line": len(content) / len(lines),
         "blank_share": 1 - len(solid) / max(1, len(content)),
         "name_chars": name_len / names if names else 0.0,
         "generated_mark": bool(GENERATED_MARK.search(head)) or bool(GENERATED_PATH.search(path)),
         "vendor_mark": bool(VENDOR_MARK.search(head)) or bool(VENDOR_PATH.search(path)),
+        "licence_mark": bool(LICENCE_MARK.search(head)),
         "minified_mark": bool(MINIFIED_PATH.search(path)),
         "config": bool(CONFIG.search(path)),
     }
@@ -150,7 +174,7 @@ def file_traits(content: str, path: str) -> dict:
 
 TRAITS = (
     "file_id long, repo string, tokens int, left int, reuse double, literal_share double, literal_ratio double, line_chars int, mean_line double, blank_share double, "
-    "name_chars double, generated_mark boolean, vendor_mark boolean, minified_mark boolean, config boolean, sheet boolean, n_lines int, rules array<struct<rule: long, lines: int>>"
+    "name_chars double, generated_mark boolean, vendor_mark boolean, licence_mark boolean, minified_mark boolean, config boolean, sheet boolean, n_lines int, rules array<struct<rule: long, lines: int>>"
 )
 #: A shared rule must cover so many lines to count: shorter ones are idioms.
 LEAST_LINES = 6
@@ -172,7 +196,7 @@ def file_table(files: DataFrame) -> DataFrame:
                 rules = [(h - (1 << 64) if h >= 1 << 63 else h, n) for h, n in passages(lines) if n >= LEAST_LINES]
                 sheet = path.lower().endswith((".css", ".scss", ".less"))
                 rows.append({"file_id": file_id, "repo": repo, **file_traits(content, path), "sheet": sheet, "n_lines": sum(len("".join(x.split())) > 2 for x in lines), "rules": [{"rule": h, "lines": n} for h, n in rules]})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRAITS.split(", ")[:18]])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRAITS.split(", ")[:19]])
 
     empty = F.lit("")
     rows = files.filter(F.col("file_id").isNotNull() & (F.length("content") > 0)).select(F.col("file_id").cast("long"), F.coalesce("system_name", empty).alias("repo"), plain_path(F.coalesce("file_path", empty)).alias("path"), "content")
@@ -186,7 +210,7 @@ def file_origins(files: DataFrame, shared_share: float = 0.4) -> DataFrame:
 
     shared is the share of the file's lines under rules that occur in two or more repositories
     (system_name); a file above `shared_share`, or marked as third-party in its leading comment or
-    path, is vendored. Configuration files are own. Of several origins the first of minified,
+    path, is vendored; a licence in the leading comment is no such mark, but makes a tenth shared enough. Configuration files are own. Of several origins the first of minified,
     data, vendored, generated counts. Small and empty tables need no special case.
     """
     table = cut_lineage(file_table(files))
@@ -196,9 +220,9 @@ def file_origins(files: DataFrame, shared_share: float = 0.4) -> DataFrame:
     c = F.col
     rest = c("left") / F.greatest(c("tokens"), F.lit(1))
     minified = (c("line_chars") >= 300) & (c("blank_share") <= 0.09) & ((c("name_chars") <= 4) | c("sheet")) | c("minified_mark")
-    data = (c("literal_share") >= 0.7) & (c("literal_ratio") >= 0.3)
+    data = (c("literal_share") >= DATA_SHARE) & (c("literal_ratio") >= 0.3)
     generated = c("generated_mark") | ~c("sheet") & (c("tokens") >= 60) & ((rest < 0.28) | (rest < 0.4) & (c("reuse") >= 9.5))
     share = F.coalesce(c("covered"), F.lit(0)) / F.greatest(c("n_lines"), F.lit(1))
     placed = table.join(covered, "file_id", "left").withColumn("shared", share)
-    origin = F.when(c("config"), "own").when(minified, "minified").when(data, "data").when((c("shared") >= shared_share) | c("vendor_mark"), "vendored").when(generated, "generated").otherwise("own")
+    origin = F.when(c("config"), "own").when(minified, "minified").when(data, "data").when((c("shared") >= shared_share) | c("vendor_mark") | c("licence_mark") & (c("shared") >= 0.1), "vendored").when(generated, "generated").otherwise("own")
     return placed.select("file_id", origin.alias("origin"), "shared")

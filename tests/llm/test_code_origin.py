@@ -5,7 +5,7 @@ from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cipherledger.llm.code_origin import file_origins, file_traits, passages, re_pair
+from cipherledger.llm.code_origin import file_origins, file_traits, literal_ratio, passages, re_pair
 
 OWN = "import hashlib\n\n" + "\n".join(f"def {a}_{b}({c}):\n    {d} = {c}.get('{e}')\n    return {d}\n" for a, b, c, d, e in [("seal", "order", "x", "y", "k1"), ("open", "batch", "tenant", "size", "width"), ("merge", "cache", "left", "total", "name"), ("parse", "line", "text", "head", "first")])
 BEAN = "\n".join(f"    public String getField{i:03}() {{ return this.field{i:03}; }}" for i in range(40))
@@ -73,3 +73,24 @@ def test_a_mark_behind_a_long_licence_header_counts():
     mark = "// Code generated by protoc. DO NOT EDIT.\n"
     assert file_traits(header + mark + "int x = 1;\n", "src/x.c")["generated_mark"]
     assert not file_traits(header + "int x = 1;\n" + mark, "src/x.c")["generated_mark"]
+
+
+def test_licences_and_bans_on_one_part_leave_a_file_own(spark):
+    got = origins(
+        spark,
+        (1, "a", "src/a.py", "# SPDX-License-Identifier: Apache-2.0\n" + OWN),
+        (2, "a", "src/b.py", "# Do not edit the constants below without telling ops.\n" + OWN.replace("seal", "fold")),
+        (3, "a", "src/c.py", "# Produced from x.proto. DO NOT EDIT.\n" + OWN.replace("seal", "wrap")),
+        (4, "a", "src/d.java", "// Erzeugt von jaxgen aus d.xsd - nicht von Hand ändern\n" + OWN.replace("seal", "draw")),
+        (5, "a", "src/e.py", "# keys are generated by the client service and must not be edited by users\n" + OWN.replace("seal", "lift")),
+        (6, "a", "src/f.js", "// SPDX-License-Identifier: MIT\n" + LIB),
+        (7, "b", "src/g.js", "// SPDX-License-Identifier: MIT\n" + LIB + "\n".join(f"own{i}(x{i * 7});" for i in range(150))),
+        (8, "b", "src/h.js", LIB + "\n".join(f"mine{i}(y{i * 5});" for i in range(150))),
+    )
+    assert got == {1: "own", 2: "own", 3: "generated", 4: "generated", 5: "own", 6: "vendored", 7: "vendored", 8: "own"}
+
+
+def test_literals_that_grammars_do_not_shorten():
+    r = random.Random(1)
+    assert literal_ratio("".join(r.choice("0123456789abcdef") for _ in range(3000))) > 0.3 > literal_ratio("abcdefgh" * 300)
+    assert literal_ratio("aaaa" * 100) == 0.0 and literal_ratio("short") == 0.0 and literal_ratio("") == 0.0
