@@ -91,9 +91,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, budget: int | None = N
     order = [F.shiftrightunsigned("_h", 1), F.col("doc_id"), F.col("tokens")]
     served = running_total(shuffled, ["source"], slot, order, "tokens", "_served").withColumn("finish", F.col("_served") / F.col("weight"))
 
-    # no source that is never idle finishes beyond the budget; only one that takes others' places does
-    span = F.lit(float(max(total, 1)))
-    lane = F.least(F.floor(F.col("finish") / span * ranges), F.lit(ranges * 64).cast("long"))
+    # no source that is never idle finishes beyond the budget; one that takes others' places does, and has a range for
+    # each part of a doubling from there on, so the ranges stay few however far it goes
+    part = F.col("finish") / F.lit(float(max(total, 1)))
+    lane = F.when(part < 1, F.floor(part * ranges)).otherwise(F.floor((1 + F.log2(F.greatest(part, F.lit(1.0)))) * ranges))
     merged = running_total(served.withColumn("_all", F.lit(0)), ["_all"], lane, [F.col("finish"), F.col("source"), F.col("doc_id"), F.col("copy")], "tokens", "position", total)
     selection = merged.filter(F.col("position") <= total).select("doc_id", "source", "copy", "tokens", "finish", "position")
     return selection, totals, plan
