@@ -57,14 +57,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the one that spark.checkpoint.dir names, which all executors share; a local one only where none is set (tests)."""
+    """A fresh folder below the one that spark.checkpoint.dir names, which all executors share; in local mode (tests) one of its own where none is set."""
     return f"{_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 

@@ -13,17 +13,17 @@ from cipherledger.functions.text import slashed
 # Parts of a path that make an asset consequential; families of algorithm names.
 SENSITIVE = ["auth", "authentication", "authorization", "payment", "payments", "billing", "banking", "ledger", "identity", "iam", "session", "secrets", "keystore", "keyvault", "kms", "hsm", "vault", "credentials", "signing", "tls", "pki"]
 FAMILY_OF = {
-    "AES": "aes aes-128 aes-192 aes-256 aesgcm rijndael",
-    "ChaCha20-Poly1305": "chacha20 chacha20-poly1305",
-    "Legacy-Cipher": "des desede des-ede3 des3 tripledes 3des rc2 rc4 arc4 blowfish idea cast5",
-    "RSA": "rsa",
-    "Diffie-Hellman": "dsa dh diffiehellman",
-    "ECC": "ec ecdsa ecdh ed25519 x25519",
-    "MD5/SHA-1": "md5 sha1 sha-1 md4",
-    "SHA-2/SHA-3": "sha256 sha-256 sha384 sha-384 sha512 sha-512 sha3-256 sha3-512 blake2b",
-    "TLS/SSL Protocol": "sslv2 sslv3 ssl tls tlsv1 tlsv1.1 tlsv1.2 tlsv1.3",
-    "PQC-FIPS": "kyber ml-kem ml-dsa dilithium sphincs+ slh-dsa kyber512 kyber768 kyber1024 dilithium2 dilithium3 dilithium5 falcon512 falcon1024",
-}
+    "aes": "AES", "aes-128": "AES", "aes-192": "AES", "aes-256": "AES", "aesgcm": "AES", "rijndael": "AES",
+    "chacha20": "ChaCha20-Poly1305", "chacha20-poly1305": "ChaCha20-Poly1305",
+    "des": "Legacy-Cipher", "desede": "Legacy-Cipher", "des-ede3": "Legacy-Cipher", "des3": "Legacy-Cipher", "tripledes": "Legacy-Cipher", "3des": "Legacy-Cipher", "rc2": "Legacy-Cipher", "rc4": "Legacy-Cipher", "arc4": "Legacy-Cipher", "blowfish": "Legacy-Cipher", "idea": "Legacy-Cipher", "cast5": "Legacy-Cipher",
+    "rsa": "RSA",
+    "dsa": "Diffie-Hellman", "dh": "Diffie-Hellman", "diffiehellman": "Diffie-Hellman",
+    "ec": "ECC", "ecdsa": "ECC", "ecdh": "ECC", "ed25519": "ECC", "x25519": "ECC",
+    "md5": "MD5/SHA-1", "sha1": "MD5/SHA-1", "sha-1": "MD5/SHA-1", "md4": "MD5/SHA-1",
+    "sha256": "SHA-2/SHA-3", "sha-256": "SHA-2/SHA-3", "sha384": "SHA-2/SHA-3", "sha-384": "SHA-2/SHA-3", "sha512": "SHA-2/SHA-3", "sha-512": "SHA-2/SHA-3", "sha3-256": "SHA-2/SHA-3", "sha3-512": "SHA-2/SHA-3", "blake2b": "SHA-2/SHA-3",
+    "sslv2": "TLS/SSL Protocol", "sslv3": "TLS/SSL Protocol", "ssl": "TLS/SSL Protocol", "tls": "TLS/SSL Protocol", "tlsv1": "TLS/SSL Protocol", "tlsv1.1": "TLS/SSL Protocol", "tlsv1.2": "TLS/SSL Protocol", "tlsv1.3": "TLS/SSL Protocol",
+    "kyber": "PQC-FIPS", "ml-kem": "PQC-FIPS", "ml-dsa": "PQC-FIPS", "dilithium": "PQC-FIPS", "sphincs+": "PQC-FIPS", "slh-dsa": "PQC-FIPS", "kyber512": "PQC-FIPS", "kyber768": "PQC-FIPS", "kyber1024": "PQC-FIPS", "dilithium2": "PQC-FIPS", "dilithium3": "PQC-FIPS", "dilithium5": "PQC-FIPS", "falcon512": "PQC-FIPS", "falcon1024": "PQC-FIPS",
+}
 MODES = ["gcm", "cbc", "ctr", "ecb", "cfb", "ofb", "ccm", "xts", "oaep", "pss"]
 
 
@@ -41,7 +41,7 @@ def consequence(assets: DataFrame) -> DataFrame:
 
 def family_of(name: Column) -> Column:
     """Family of an algorithm string: the whole text, else its head before / \\ or blank, else its first known token; else null."""
-    known = F.create_map(*[F.lit(x) for family, names in FAMILY_OF.items() for n in names.split() for x in (n, family)])
+    known = F.create_map(*[F.lit(x) for token, family in FAMILY_OF.items() for x in (token, family)])
     text = F.lower(F.trim(name))
     tokens = F.filter(F.split(text, r"[^a-z0-9.+]+"), lambda t: F.element_at(known, t).isNotNull())
     return F.coalesce(F.element_at(known, text), F.element_at(known, F.regexp_extract(text, r"^([^/\\ ]*)", 1)), F.element_at(known, F.get(tokens, F.lit(0))))
@@ -55,12 +55,17 @@ def algorithm_strings(evidence: DataFrame) -> DataFrame:
     """
     once = evidence.filter("id is not null and snippet is not null").select("id", "snippet").dropDuplicates(["id"])
     rows = once.select("id", F.explode(F.array_distinct(F.expr(r"""regexp_extract_all(snippet, '["\']([A-Za-z0-9][A-Za-z0-9/+._ -]{1,60})["\']', 1)"""))).alias("stated"))
-    low = F.lower("stated")
-    mode = reduce(lambda c, m: c.when(F.rlike(low, F.lit(rf"(^|[^a-z0-9]){m}([^a-z0-9]|$)")), m.upper()), MODES, F.when(F.lit(False), ""))
-    bits = F.regexp_extract("stated", r"(?:^|[^0-9])(\d{3,4})(?:[^0-9]|$)", 1).try_cast("int")
+    mode, bits = mode_and_bits(F.col("stated"))
     return rows.select("id", "stated", family_of(F.col("stated")).alias("family"), mode.alias("mode"), bits.alias("bits")).filter("family is not null")
 
 
+def mode_and_bits(stated: Column) -> tuple[Column, Column]:
+    """The first known mode in an algorithm string, in upper case, and a length of three or four digits in it; null without."""
+    low = F.lower(stated)
+    mode = reduce(lambda c, m: c.when(F.rlike(low, F.lit(rf"(^|[^a-z0-9]){m}([^a-z0-9]|$)")), m.upper()), MODES, F.when(F.lit(False), ""))
+    return mode, F.regexp_extract(stated, r"(?:^|[^0-9])(\d{3,4})(?:[^0-9]|$)", 1).try_cast("int")
+
+
 def coverage_notes(walks: DataFrame) -> DataFrame:
     """scan_id and what its walk left out, as one text; scans that left out nothing have an empty text. Repeated rows count once."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -141,7 +141,7 @@ def listing(files: DataFrame) -> DataFrame:
         ends = ends | F.endswith(name, F.lit(e))
     bad_name = name.isin(SKIPPED_NAMES) | (F.startswith(name, F.lit("scan_")) & F.endswith(name, F.lit(".json"))) | ends
     extension = F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).otherwise("")
-    verdict = F.when(bad_dir | (F.size(dirs) > MOST_DEPTH), "pruned").when(bad_name, "skipped_type").when(F.col("size_bytes") > MOST_BYTES, "skipped_size").otherwise("scanned")
+    verdict = F.when(bad_dir | (F.size(dirs) >= MOST_DEPTH), "pruned").when(bad_name, "skipped_type").when(F.col("size_bytes") > MOST_BYTES, "skipped_size").otherwise("scanned")
     scanners = F.array(F.when(extension.isin(SOURCE_ENDS) | F.startswith(name, F.lit(".env")), "source"), F.when(name.isin(MANIFESTS), "dependency"), F.when(F.startswith(name, F.lit("dockerfile")), "container"))
     return f.withColumns({"extension": extension, "depth": F.size(dirs), "verdict": verdict}).select("file_id", "scan_id", "path", "extension", "depth", "verdict", F.when(F.col("verdict") == "scanned", F.array_compact(scanners)).otherwise(F.array().cast("array<string>")).alias("scanners"))
 
@@ -150,3 +150,18 @@ def coverage(files: DataFrame) -> DataFrame:
     """Per scan: files seen, scanned and skipped, by reason."""
     rows = listing(files)
     return rows.groupBy("scan_id").agg(F.count("*").alias("seen"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("scanned", "pruned", "skipped_type", "skipped_size")])
+
+
+# Which scanners a target of each type is given to, in order.
+ROUTES = [("source_code", "source", 1), ("source_code", "certificate", 5), ("binary", "binary", 2), ("dependency", "dependency", 3), ("container", "container", 4)]
+ROUTES += [("multi_target", scanner, seq) for scanner, seq in (("source", 1), ("binary", 2), ("dependency", 3), ("container", 4), ("certificate", 5))]
+
+
+def routed(scans: DataFrame) -> DataFrame:
+    """scan_id, scanner, seq: the scanners that a scan runs, by its target types; a scanner runs once for each scan.
+
+    Unknown types are routed nowhere; scans without types, and repeated rows, add nothing.
+    """
+    routes = scans.sparkSession.createDataFrame(ROUTES, "target_type string, scanner string, seq int")
+    types = scans.filter("scan_id is not null").select("scan_id", F.explode("target_types").alias("target_type")).distinct()
+    return types.join(routes, "target_type").groupBy("scan_id", "scanner").agg(F.min("seq").alias("seq"))

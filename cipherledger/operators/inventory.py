@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherledger.functions.text import plain_path
+from cipherledger.operators.context import family_of, mode_and_bits
 
 # Marks of each family in order, and the family's name and class.
 FAMILIES: list[tuple[str, list[str], str, str]] = [
@@ -212,3 +213,73 @@ def bind_findings(evidence: DataFrame, tolerance: int = 6) -> DataFrame:
     met = met.withColumn("target_id", F.when(F.col("distance") == 0, F.col("first")).otherwise(F.col("free"))).filter(F.col("distance").between(0, tolerance) & F.col("target_id").isNotNull())
     nearest = met.groupBy("id").agg(F.min(F.struct("distance", "target_id")).alias("t"))
     return nearest.select(F.col("id").alias("finding_id"), "t.target_id", "t.distance", F.when(F.col("t.distance") == 0, "direct").otherwise("nearest-generator").alias("binding"))
+
+
+def _source_lines(evidence: DataFrame) -> DataFrame:
+    """Source code evidence with a line, ids once: its place, its parameters, whether it is a dataflow finding."""
+    e = evidence.filter("line_number is not null and target_type = 'source_code' and id is not null").dropDuplicates(["id"])
+    finding = F.contains(F.coalesce(F.col("metadata.detector"), F.lit("")), F.lit("taint"))
+    return e.select("id", "scan_id", plain_path(F.col("file_path")).alias("path"), "line_number", "detected_name", "version_or_mode", "key_length", F.when(F.trim("curve_name") != "", F.trim("curve_name")).alias("curve_name"), finding.alias("finding"))
+
+
+def apply_findings(evidence: DataFrame, tolerance: int = 6) -> DataFrame:
+    """The records that dataflow findings resolve: id, final parameters, what was replaced, key_binding.
+
+    A finding gives up to three parameters: the algorithm that its name states, its curve, its key length (1 or more). They
+    are applied in this order. Algorithm and curve go to the first record on the finding's own line; the algorithm's mode and
+    length go with it, and a name of no known family changes nothing. The key length goes where bind_findings puts it among the
+    findings that have one. Of several findings for one record the last by line and id holds. replaced_ columns hold the record's
+    own values where they differ (curves without case) and were not null. Records that no finding reaches have no row.
+    """
+    e = _source_lines(evidence)
+    mode, bits = mode_and_bits(F.col("detected_name"))
+    findings = e.filter("finding").select("id", "scan_id", "path", "line_number", "key_length", "curve_name", family_of(F.col("detected_name")).alias("family"), mode.alias("mode"), bits.alias("bits"))
+    place = ["scan_id", "path", "line_number"]
+    curve_found = F.max(F.when(F.col("curve_name").isNotNull(), F.struct("id", "curve_name")))["curve_name"].alias("f_curve_name")
+    on_line = findings.groupBy(*place).agg(F.max(F.when(F.col("family").isNotNull(), F.struct("id", "family", "mode", "bits"))).alias("a"), curve_found).filter("a is not null or f_curve_name is not null")
+    records = e.filter(~F.col("finding") & ~F.coalesce("detected_name", F.lit("")).isin(NON_ALGORITHMS))
+    first = records.groupBy(*place).agg(F.min("id").alias("id"))
+    told = on_line.join(first, place).select("id", "a.family", "a.mode", "a.bits", "f_curve_name")
+    keyed = evidence.filter(~F.contains(F.coalesce(F.col("metadata.detector"), F.lit("")), F.lit("taint")) | (F.col("key_length") >= 1))
+    sizes = bind_findings(keyed, tolerance).join(findings.select(F.col("id").alias("finding_id"), "line_number", F.col("key_length").alias("size")), "finding_id")
+    sizes = sizes.groupBy(F.col("target_id").alias("id")).agg(F.max(F.struct("line_number", "finding_id", "size", "binding")).alias("k")).select("id", "k.size", F.col("k.binding").alias("key_binding"))
+    out = records.drop("finding", *place).join(told.join(sizes, "id", "full"), "id")
+    name, curve = F.coalesce("family", F.when((F.col("detected_name") == "Unresolved-Algorithm") & F.col("f_curve_name").isNotNull(), "ECC"), "detected_name"), F.coalesce("f_curve_name", "curve_name")
+    key = F.coalesce("size", F.when(F.col("bits") > 0, F.col("bits")), "key_length")
+    return out.select(
+        "id", name.alias("detected_name"), F.coalesce("mode", "version_or_mode").alias("version_or_mode"), key.alias("key_length"), curve.alias("curve_name"), "key_binding",
+        F.when(F.col("detected_name") != name, F.col("detected_name")).alias("replaced_name"), F.when(F.col("key_length") != key, F.col("key_length")).alias("replaced_key_length"), F.when(F.lower("curve_name") != F.lower(curve), F.col("curve_name")).alias("replaced_curve"),
+    )
+
+
+def added_findings(evidence: DataFrame, tolerance: int = 6) -> DataFrame:
+    """finding_id, param, detected_name, version_or_mode, key_length, curve_name: what only dataflow saw, as evidence of its own.
+
+    A parameter of a finding that has no record to go to: the algorithm if its family is known, the curve (of the finding's
+    family, else ECC), the key length if the family is known.
+    """
+    e = _source_lines(evidence)
+    findings, place = e.filter("finding"), ["scan_id", "path", "line_number"]
+    lines = e.filter(~F.col("finding") & ~F.coalesce("detected_name", F.lit("")).isin(NON_ALGORITHMS)).select(*place).distinct()
+    mode, bits = mode_and_bits(F.col("detected_name"))
+    alone = findings.join(lines, place, "left_anti").withColumn("family", family_of(F.col("detected_name")))
+    keyed = evidence.filter(~F.contains(F.coalesce(F.col("metadata.detector"), F.lit("")), F.lit("taint")) | (F.col("key_length") >= 1))
+    unbound = alone.filter("key_length >= 1 and family is not null").join(bind_findings(keyed, tolerance).select(F.col("finding_id").alias("id")), "id", "left_anti")
+    null = lambda t: F.lit(None).cast(t)
+    row = lambda df, param, name, m, k, c: df.select(F.col("id").alias("finding_id"), F.lit(param).alias("param"), name.alias("detected_name"), m.alias("version_or_mode"), k.alias("key_length"), c.alias("curve_name"))
+    family = F.col("family")
+    return (
+        row(alone.filter("family is not null"), "algorithm", family, mode, bits, null("string"))
+        .unionByName(row(alone.filter("curve_name is not null"), "curve", F.coalesce(family, F.lit("ECC")), null("string"), null("int"), F.col("curve_name")))
+        .unionByName(row(unbound, "key_size", family, null("string"), F.col("key_length"), null("string")))
+    )
+
+
+# Names of the advisory source's ecosystems by the type of a package URL.
+ECOSYSTEMS = {"npm": "npm", "pypi": "PyPI", "maven": "Maven", "golang": "Go", "cargo": "crates.io", "composer": "Packagist", "gem": "RubyGems", "nuget": "NuGet"}
+
+
+def ecosystem(url: Column) -> Column:
+    """Ecosystem of a package URL; null for anything else."""
+    kind = F.regexp_extract(url, "^pkg:([^/]*)", 1)
+    return reduce(lambda c, kv: c.when(kind == kv[0], kv[1]), ECOSYSTEMS.items(), F.when(F.lit(False), ""))

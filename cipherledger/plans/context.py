@@ -45,7 +45,7 @@ def x_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"c_consequence": c_consequence, "t_algorithm_strings": t_algorithm_strings, "u_coverage_notes": u_coverage_notes, "m_horizon": m_horizon, "u_trend": u_trend, "x_movement": x_movement}
 
-_FAMILIES = ", ".join(f"('{n}', '{f}')" for f, names in ctx.FAMILY_OF.items() for n in names.split())
+_FAMILIES = ", ".join(f"('{n}', '{f}')" for n, f in ctx.FAMILY_OF.items())
 ORACLE_SQL = {
     "c_consequence": f"""WITH {_REG}, p AS (SELECT *, CASE WHEN list_has_any(list_transform(string_split(lower(replace(coalesce(location, ''), '\\', '/')), '/'), lambda x: regexp_replace(x, '\\.[^.]*$', '')), {ctx.SENSITIVE}) THEN 'High' ELSE business_criticality END AS c FROM reg)
       SELECT scan_id, artefact_id, business_criticality, CASE WHEN type IN ('hardware_module', 'key') AND c = 'High' THEN 'Critical' WHEN algorithm_class = 'legacy_broken' AND c = 'Low' THEN 'Medium' ELSE c END AS placed_criticality FROM p""",
@@ -53,7 +53,7 @@ ORACLE_SQL = {
       s AS (SELECT id, unnest(list_distinct(regexp_extract_all(snippet, '["'']([A-Za-z0-9][A-Za-z0-9/+._ -]{{1,60}})["'']', 1))) AS stated FROM e),
       t AS (SELECT *, lower(trim(stated)) AS low FROM s),
       u AS (SELECT *, coalesce((SELECT f FROM k WHERE n = low), (SELECT f FROM k WHERE n = regexp_extract(low, '^([^/\\\\ ]*)', 1)),
-            (SELECT f FROM k WHERE n = list_filter(regexp_split_to_array(low, '[^a-z0-9.+]+'), lambda x: x IN ({", ".join(f"'{n}'" for names in ctx.FAMILY_OF.values() for n in names.split())}))[1])) AS family FROM t)
+            (SELECT f FROM k WHERE n = list_filter(regexp_split_to_array(low, '[^a-z0-9.+]+'), lambda x: x IN ({", ".join(f"'{n}'" for n in ctx.FAMILY_OF)}))[1])) AS family FROM t)
       SELECT id, stated, family, CASE {" ".join(f"WHEN regexp_matches(lower(stated), '(^|[^a-z0-9]){m}([^a-z0-9]|$)') THEN '{m.upper()}'" for m in ctx.MODES)} END AS mode, try_cast(regexp_extract(stated, '(?:^|[^0-9])(\\d{{3,4}})(?:[^0-9]|$)', 1) AS INT) AS bits FROM u WHERE family IS NOT NULL""",
     "u_coverage_notes": """SELECT DISTINCT ON (scan_id) scan_id, concat_ws('; ', CASE WHEN hit_file_limit THEN 'stopped after ' || files_scanned || ' files' END, CASE WHEN hit_depth_limit THEN 'directories too deep' END,
       CASE WHEN files_skipped_size > 0 THEN files_skipped_size || ' files too large' END, CASE WHEN dirs_pruned > 0 THEN dirs_pruned || ' directories left out' END) AS notes FROM walk_stats""",

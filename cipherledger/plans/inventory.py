@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherledger.operators import inventory as inv
+from cipherledger.operators.context import FAMILY_OF
 from cipherledger.sources.tables import table
 
 
@@ -45,7 +46,23 @@ def t_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.bind_findings(table(spark, sf_dir, "evidence"))
 
 
-QUERIES = {"n_normalised": n_normalised, "n_families": n_families, "a_aggregated": a_aggregated, "a_merged": a_merged, "a_merged_places": a_merged_places, "t_nearest_above": t_nearest_above, "t_bound": t_bound}
+def t_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the parameters that dataflow resolved, and the values these replaced."""
+    return inv.apply_findings(table(spark, sf_dir, "evidence"))
+
+
+def t_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters that dataflow resolved where no record stands, as evidence of its own."""
+    return inv.added_findings(table(spark, sf_dir, "evidence"))
+
+
+def n_ecosystems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets of dependencies by ecosystem, and how many state a version."""
+    assets = inv.normalise(table(spark, sf_dir, "evidence")).filter("purl is not null")
+    return assets.groupBy(inv.ecosystem(F.col("purl")).alias("ecosystem")).agg(F.count("*").alias("n"), F.count_if(F.contains("purl", F.lit("@"))).alias("n_versioned"))
+
+
+QUERIES = {"t_applied": t_applied, "t_added": t_added, "n_ecosystems": n_ecosystems, "n_normalised": n_normalised, "n_families": n_families, "a_aggregated": a_aggregated, "a_merged": a_merged, "a_merged_places": a_merged_places, "t_nearest_above": t_nearest_above, "t_bound": t_bound}
 
 
 def _has(texts: list[str], marks: list[str]) -> str:
@@ -97,10 +114,46 @@ n AS (
     fn || CASE WHEN type = 'certificate' THEN if(contains(lower(fn), 'certificate'), '', ' certificate') WHEN coalesce(mode, '') <> '' AND mode <> 'GCM' THEN '-' || mode ELSE '' END AS name
   FROM (SELECT *, {_FAMILY} || if(coalesce(key_size_bits, 0) <> 0, '-' || key_size_bits, '') || if(coalesce(curve, '') <> '', ' (' || curve || ')', '') AS fn FROM i))"""
 
+# the tokens of algorithm names, as written in context.FAMILY_OF
+_TOKENS = ", ".join(f"('{n}', '{f}')" for n, f in FAMILY_OF.items())
+_WORDS = ", ".join(f"'{n}'" for n in FAMILY_OF)
+_APPLY = rf"""
+k(n, f) AS (VALUES {_TOKENS}),
+e AS (SELECT DISTINCT ON (id) id, scan_id, regexp_replace(replace(file_path, '\', '/'), '^(\./+)+', '') AS path, line_number, detected_name, version_or_mode, key_length, nullif(trim(curve_name), '') AS curve_name,
+    contains(coalesce(metadata.detector, ''), 'taint') AS finding, lower(trim(detected_name)) AS low FROM evidence WHERE line_number IS NOT NULL AND target_type = 'source_code'),
+fd AS (SELECT *, coalesce((SELECT f FROM k WHERE n = low), (SELECT f FROM k WHERE n = regexp_extract(low, '^([^/\\ ]*)', 1)),
+      (SELECT f FROM k WHERE n = list_filter(regexp_split_to_array(low, '[^a-z0-9.+]+'), lambda x: x IN ({_WORDS}))[1])) AS family,
+    CASE {{modes}} END AS mode, try_cast(regexp_extract(detected_name, '(?:^|[^0-9])(\d{{{{3,4}}}})(?:[^0-9]|$)', 1) AS INT) AS bits FROM e WHERE finding),
+rec AS (SELECT * FROM e WHERE NOT finding AND coalesce(detected_name, '') NOT IN ('Hardcoded-Private-Key', 'Hardcoded-Public-Key', 'X509-Certificate', 'Cloud KMS Service', 'HSM/PKCS#11 Module')),
+nth AS (SELECT *, row_number() OVER (PARTITION BY scan_id, path, line_number ORDER BY id) AS nth FROM rec),
+alg AS (SELECT DISTINCT ON (scan_id, path, line_number) scan_id, path, line_number, family, mode, bits FROM fd WHERE family IS NOT NULL ORDER BY scan_id, path, line_number, id DESC),
+cur AS (SELECT DISTINCT ON (scan_id, path, line_number) scan_id, path, line_number, curve_name AS fc FROM fd WHERE curve_name IS NOT NULL ORDER BY scan_id, path, line_number, id DESC),
+kf AS (SELECT * FROM fd WHERE key_length >= 1),
+own AS (SELECT kf.id AS finding_id, kf.line_number, kf.key_length AS size, nth.id AS target_id FROM kf JOIN nth USING (scan_id, path, line_number) WHERE nth = 1),
+free AS (SELECT scan_id, path, line_number, max(id) AS target_id FROM rec WHERE id NOT IN (SELECT target_id FROM own) GROUP BY ALL),
+near AS (SELECT kf.id AS finding_id, kf.line_number, kf.key_length AS size, t.target_id FROM kf ASOF JOIN free t ON kf.scan_id = t.scan_id AND kf.path = t.path AND kf.line_number >= t.line_number
+    WHERE kf.id NOT IN (SELECT finding_id FROM own) AND kf.line_number - t.line_number <= 6),
+bound AS (SELECT *, 'direct' AS binding FROM own UNION ALL SELECT *, 'nearest-generator' FROM near),
+sz AS (SELECT DISTINCT ON (target_id) target_id, size, binding FROM bound ORDER BY target_id, line_number DESC, finding_id DESC)""".replace(
+    "{modes}", " ".join(f"WHEN regexp_matches(lower(detected_name), '(^|[^a-z0-9]){m}([^a-z0-9]|$)') THEN '{m.upper()}'" for m in ("gcm", "cbc", "ctr", "ecb", "cfb", "ofb", "ccm", "xts", "oaep", "pss"))
+).replace("{{3,4}}", "{3,4}")
+
 _RANK = "list_position(['Low', 'Medium', 'High', 'Critical'], business_criticality)"
 _KNOWN = "coalesce(list_position(['assumed', 'literal', 'dataflow'], parameter_source), 0)"
 _ID = ", ".join(inv.IDENTITY)
 ORACLE_SQL = {
+    "t_applied": f"""WITH {_APPLY},
+        j AS (SELECT nth.*, family, mode, bits, fc, size, binding FROM nth LEFT JOIN alg ON nth = 1 AND alg.scan_id = nth.scan_id AND alg.path = nth.path AND alg.line_number = nth.line_number
+          LEFT JOIN cur ON nth = 1 AND cur.scan_id = nth.scan_id AND cur.path = nth.path AND cur.line_number = nth.line_number LEFT JOIN sz ON target_id = nth.id WHERE family IS NOT NULL OR fc IS NOT NULL OR size IS NOT NULL),
+        o AS (SELECT *, coalesce(family, CASE WHEN detected_name = 'Unresolved-Algorithm' AND fc IS NOT NULL THEN 'ECC' END, detected_name) AS nm, coalesce(size, CASE WHEN bits > 0 THEN bits END, key_length) AS ky, coalesce(fc, curve_name) AS cv FROM j)
+        SELECT id, nm AS detected_name, coalesce(mode, version_or_mode) AS version_or_mode, ky AS key_length, cv AS curve_name, binding AS key_binding, CASE WHEN detected_name <> nm THEN detected_name END AS replaced_name,
+          CASE WHEN key_length <> ky THEN key_length END AS replaced_key_length, CASE WHEN lower(curve_name) <> lower(cv) THEN curve_name END AS replaced_curve FROM o""",
+    "t_added": f"""WITH {_APPLY}, al AS (SELECT fd.* FROM fd ANTI JOIN rec USING (scan_id, path, line_number))
+        SELECT id AS finding_id, 'algorithm' AS param, family AS detected_name, mode AS version_or_mode, bits AS key_length, NULL::VARCHAR AS curve_name FROM al WHERE family IS NOT NULL
+        UNION ALL SELECT id, 'curve', coalesce(family, 'ECC'), NULL, NULL, curve_name FROM al WHERE curve_name IS NOT NULL
+        UNION ALL SELECT id, 'key_size', family, NULL, key_length, NULL FROM al WHERE key_length >= 1 AND family IS NOT NULL AND id NOT IN (SELECT finding_id FROM bound)""",
+    "n_ecosystems": f"""WITH {NORMALISED} SELECT CASE regexp_extract(purl, '^pkg:([^/]*)', 1) WHEN 'npm' THEN 'npm' WHEN 'pypi' THEN 'PyPI' WHEN 'maven' THEN 'Maven' WHEN 'golang' THEN 'Go' WHEN 'cargo' THEN 'crates.io'
+          WHEN 'composer' THEN 'Packagist' WHEN 'gem' THEN 'RubyGems' WHEN 'nuget' THEN 'NuGet' END AS ecosystem, count(*) AS n, count(*) FILTER (contains(purl, '@')) AS n_versioned FROM n WHERE purl IS NOT NULL GROUP BY ALL""",
     "n_normalised": f"WITH {NORMALISED} SELECT * EXCLUDE (snippet, line_number, system_name) FROM n",
     "n_families": f"WITH {NORMALISED} SELECT algorithm_family, quantum_vulnerability, target_type, count(*) AS n, count(key_size_bits) AS n_sized FROM n GROUP BY ALL",
     "a_aggregated": f"""WITH {NORMALISED}
