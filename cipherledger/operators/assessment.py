@@ -64,7 +64,8 @@ def verdicts(assets: DataFrame, today: str) -> DataFrame:
     assets: algorithm_class, quantum_vulnerability, key_size_bits, curve, shelf_life_x, migration_time_y,
     threat_timeline_z, business_criticality. The binding model must start first; on a tie it is the inequality.
     Safe assets are Low and bound by none; broken ones are Critical; others go by slack, and high consequence
-    raises Medium and High. Assets without times have null verdicts and the band of their class, else null.
+    raises Medium and High. is_at_risk (X + Y beyond Z, safe assets never) and breach_likely (the high end of the
+    probability is a half or more) stand beside the band. Assets without times have null verdicts and the band of their class, else null.
     """
     day = F.to_date(F.lit(today))
     x, y, z = F.col("shelf_life_x"), F.col("migration_time_y"), F.col("threat_timeline_z")
@@ -92,7 +93,9 @@ def verdicts(assets: DataFrame, today: str) -> DataFrame:
     start = F.when(F.col("binding") == "regulatory", F.col("law_start")).when(F.col("binding") == "mosca", F.col("mosca_start"))
     heavy = F.coalesce(F.col("business_criticality").isin("High", "Critical"), F.lit(False))
     band = F.when(F.col("safe") & ~law_risk, "Low").when(F.col("broken"), "Critical").when(slack < 1, F.when(heavy, "Critical").otherwise("High")).when(slack < 3, F.when(heavy, "High").otherwise("Medium")).when(slack >= 3, "Low")
-    return a.withColumns({"slack": slack, "start_by": start, "band": band, "overdue": F.coalesce(slack < 0, F.lit(False))})
+    likely = F.coalesce(F.col("breach_high") >= 0.5, F.lit(False))
+    past = F.coalesce(x + y > z, F.lit(False)) & ~F.col("safe")
+    return a.withColumns({"slack": slack, "start_by": start, "band": band, "overdue": F.coalesce(slack < 0, F.lit(False)), "breach_likely": likely, "is_at_risk": past, "margin": rounded(z - (x + y))})
 
 
 def strength(assets: DataFrame) -> DataFrame:
@@ -127,3 +130,8 @@ def agility(assets: DataFrame) -> DataFrame:
     weakest = F.array_min(F.array(*[F.struct(F.coalesce(F.col(f), F.lit(100.0)).alias("v"), F.lit(i).alias("i"), F.lit(f).alias("name")) for i, (f, _) in enumerate(FACTORS)])).getField("name")
     out = out.withColumns({"score": score, "weakest": weakest, "multiplier": F.when(F.col("indirection") >= 70, 0.9).when(F.col("indirection") <= 35, 1.2).otherwise(1.0)})
     return out.withColumn("grade", F.when(F.col("score") >= 70, "Agile").when(F.col("score") >= 40, "Moderate").otherwise("Rigid"))
+
+
+def agility_estate(assets: DataFrame, by: list[str]) -> DataFrame:
+    """mean_score (one decimal), n and rigid of assets with a score, from agility()."""
+    return assets.groupBy(*by).agg(F.round(F.avg("score").cast("decimal(20,6)"), 1).cast("double").alias("mean_score"), F.count("*").alias("n"), F.count_if(F.col("grade") == "Rigid").alias("rigid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cipherledger.functions.scale import salted_join
+from cipherledger.functions.scale import previous_in_series, salted_join
 from cipherledger.functions.text import slashed
 from cipherledger.operators.snapshot_changes import last_delivery
 
@@ -155,6 +155,50 @@ def scan_delta(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("scan_id", *key, bucket.alias("bucket"), (F.col("now.occurrence_count") - F.col("then.occurrence_count")).alias("occurrence_delta"), F.col("now.rank").alias("rank_now"), F.col("then.rank").alias("rank_then"))
 
 
+def asset_changes(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """scan_id, family, type, path, parameter, before, after and previous_ columns of assets in both of two consecutive scans.
+
+    One row for each parameter (key_size_bits, curve) that differs, null and blank curve being one value, null and a size two;
+    an asset without such a change has no row. previous_name, previous_risk_category and occurrence_delta tell what else moved.
+    Assets and the one of several that counts are those of scan_delta.
+    """
+    key = ["algorithm_family", "type", "path"]
+    blank = F.lit("")
+    value = F.struct("artefact_id", "key_size_bits", F.coalesce(F.trim("curve"), blank).alias("curve"), "name", "risk_category", "occurrence_count").alias("v")
+    assets = rows.select("scan_id", F.coalesce("algorithm_family", blank).alias("algorithm_family"), F.coalesce("type", blank).alias("type"), slashed(F.coalesce(F.trim("location"), blank)).alias("path"), "artefact_id", value)
+    assets = assets.groupBy("scan_id", *key).agg(F.max_by("v", "artefact_id").alias("v"))
+    sides = pairs.filter("prev_scan_id is not null")
+    now = salted_join(assets, sides.select("scan_id"), ["scan_id"], ["path"]).withColumnRenamed("v", "now")
+    then = salted_join(assets.withColumnRenamed("scan_id", "prev_scan_id"), sides, ["prev_scan_id"], ["path"]).drop("prev_scan_id").withColumnRenamed("v", "then")
+    both = now.join(then, ["scan_id", *key])
+    change = lambda c: F.when(~F.col(f"now.{c}").eqNullSafe(F.col(f"then.{c}")), F.struct(F.lit(c).alias("parameter"), F.col(f"then.{c}").cast("string").alias("before"), F.col(f"now.{c}").cast("string").alias("after")))
+    return both.select(
+        "scan_id", *key, F.explode(F.array_compact(F.array(change("key_size_bits"), change("curve")))).alias("c"), F.col("then.name").alias("previous_name"), F.col("then.risk_category").alias("previous_risk_category"),
+        (F.col("now.occurrence_count") - F.col("then.occurrence_count")).alias("occurrence_delta"),
+    ).select("scan_id", *key, "c.*", "previous_name", "previous_risk_category", "occurrence_delta")
+
+
+def band_movement(scans: DataFrame) -> DataFrame:
+    """scan_id, prev_scan_id, band, movement, readiness_delta: how each band of a summary's distribution moved since the scan before.
+
+    Bands of either summary count, 0 where one lacks them; readiness_delta has one decimal. Repeated rows count once.
+    """
+    once = scans.filter("scan_id is not null").dropDuplicates(["scan_id"])
+    pairs = previous_in_series(once, ["installation_id", "target_name"], F.col("created_at"), "scan_id", ["scan_id", "risk_distribution", "quantum_readiness_score"]).filter("prev_scan_id is not null")
+    held = lambda c: F.coalesce(F.col(c), F.create_map().cast("map<string,int>"))
+    bands = F.array_union(F.map_keys(held("risk_distribution")), F.map_keys(held("prev_risk_distribution")))
+    rows = pairs.withColumn("band", F.explode(bands))
+    count = lambda c: F.coalesce(F.element_at(held(c), F.col("band")), F.lit(0))
+    delta = F.round((F.col("quantum_readiness_score") - F.col("prev_quantum_readiness_score")).cast("decimal(20,6)"), 1).cast("double")
+    return rows.select("scan_id", "prev_scan_id", "band", (count("risk_distribution") - count("prev_risk_distribution")).alias("movement"), delta.alias("readiness_delta"))
+
+
+def long_lead(rows: DataFrame, least: float = 1.0) -> DataFrame:
+    """scan_id, artefact_id, migration_time_y, critical_path: assets whose migration takes `least` years or more, and the scan's longest."""
+    longest = rows.groupBy("scan_id").agg(F.max("migration_time_y").alias("critical_path"))
+    return salted_join(rows.filter(F.col("migration_time_y") >= least).select("scan_id", "artefact_id", "migration_time_y"), longest, ["scan_id"], ["artefact_id"])
+
+
 def delta_counts(delta: DataFrame) -> DataFrame:
     """Assets per scan and bucket, and how many of them are now critical."""
     return delta.groupBy("scan_id", "bucket").agg(F.count("*").alias("n"), F.count_if(F.col("rank_now") == 3).alias("critical"))

@@ -49,6 +49,28 @@ def q_estate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ass.agility(_inventory(spark, sf_dir)).groupBy("scan_id", "grade").agg(F.count("*").alias("n"), F.count_if(F.col("weakest") == "configurability").alias("by_configuration"))
 
 
+def r_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which register rows are at risk whatever their band, by how much, and which breach is likely."""
+    return ass.verdicts(_current(spark, sf_dir), TODAY).select("scan_id", "artefact_id", "is_at_risk", "margin", "breach_likely")
+
+
+def q_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean agility score and rigid assets of each scan."""
+    return ass.agility_estate(ass.agility(_inventory(spark, sf_dir)), ["scan_id"])
+
+
+def e_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of the register as text fields for a CSV file, the worst rows first: nulls empty, marks as YES and NO."""
+    rows = _current(spark, sf_dir).orderBy(reg.risk_rank(F.col("risk_category")), F.coalesce("occurrence_count", F.lit(0)).desc(), F.coalesce("name", F.lit("")), "scan_id", "artefact_id")
+    return rows.select(*[F.when(F.col(c), "YES").otherwise("NO").alias(c) if c == "is_overdue" else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in REGISTER])
+
+
+def a_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory of each scan, the most critical assets first, then those with most occurrences, then by family."""
+    rank = F.array_position(F.array(*map(F.lit, inv.CRITICALITY)), F.col("business_criticality"))
+    return _inventory(spark, sf_dir).orderBy("scan_id", rank.desc(), F.desc("occurrence_count"), "algorithm_family", *inv.IDENTITY[1:]).select("scan_id", *inv.IDENTITY, "business_criticality", "occurrence_count")
+
+
 def g_built(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Register rows built from the stored scan documents."""
     return register_rows(table(spark, sf_dir, "scan_document"))
@@ -60,6 +82,11 @@ def u_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("scan_id", "risk_critical", "risk_high", F.when(F.col("risk_critical") > 0, "fail").when(F.col("risk_high") > 0, "warn").otherwise("pass").alias("gate"))
 
 
+#: The register's columns, in the order of the export.
+REGISTER = [
+    "scan_id", "installation_id", "system_name", "sensitivity_profile", "artefact_id", "name", "type", "algorithm_family", "algorithm_class", "key_size_bits", "curve", "location", "line_number", "target_type", "quantum_vulnerability",
+    "business_criticality", "occurrence_count", "purl", "crypto_usage", "known_vulnerability_count", "risk_category", "must_start_by", "must_complete_by", "is_overdue", "binding_model", "recommended_standard", "nist_category", "migration_urgency",
+]
 EXPORTED = ["system_name", "artefact_id", "name", "type", "algorithm_family", "key_size_bits", "curve", "location", "risk_category", "must_start_by", "is_overdue", "occurrence_count", "purl"]
 
 
@@ -77,7 +104,7 @@ def e_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _current(spark, sf_dir).select("scan_id", "artefact_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("component"))
 
 
-QUERIES = {"r_verdicts": r_verdicts, "r_bands": r_bands, "k_strength": k_strength, "q_agility": q_agility, "q_estate": q_estate, "g_built": g_built, "u_gate": u_gate, "e_csv": e_csv, "e_components": e_components}
+QUERIES = {"r_verdicts": r_verdicts, "r_bands": r_bands, "k_strength": k_strength, "q_agility": q_agility, "q_estate": q_estate, "g_built": g_built, "u_gate": u_gate, "e_csv": e_csv, "e_register": e_register, "r_flags": r_flags, "q_scores": q_scores, "a_ordered": a_ordered, "e_components": e_components}
 
 _DAY = f"DATE '{TODAY}'"
 
@@ -135,6 +162,10 @@ _GRADE = "CASE WHEN score >= 70 THEN 'Agile' WHEN score >= 40 THEN 'Moderate' EL
 _SIZE = "CASE WHEN key_size_bits >= 15360 THEN 256 WHEN key_size_bits >= 7680 THEN 192 WHEN key_size_bits >= 3072 THEN 128 WHEN key_size_bits >= 2048 THEN 112 ELSE 80 END"
 
 ORACLE_SQL = {
+    "r_flags": f"WITH {_REG}, {_VERDICTS} SELECT scan_id, artefact_id, coalesce(x + y > z, false) AND NOT safe AS is_at_risk, {_r('z - (x + y)')} AS margin, coalesce(breach_high >= 0.5, false) AS breach_likely FROM v",
+    "q_scores": f"WITH inv AS ({_INV}), {_AGILE} SELECT scan_id, round(avg(score)::DECIMAL(20, 6), 1)::DOUBLE AS mean_score, count(*) AS n, count(*) FILTER (score < 40) AS rigid FROM ag GROUP BY scan_id",
+    "e_register": f"WITH {_REG} SELECT " + ", ".join(f"CASE WHEN {c} THEN 'YES' ELSE 'NO' END AS {c}" if c == "is_overdue" else f"coalesce({c}::VARCHAR, '') AS {c}" for c in REGISTER) + " FROM reg",
+    "a_ordered": f"WITH inv AS ({_INV}) SELECT scan_id, {', '.join(inv.IDENTITY)}, business_criticality, occurrence_count FROM inv",
     "r_verdicts": f"WITH {_REG}, {_VERDICTS} SELECT {', '.join(VERDICT)}, start_by FROM v",
     "r_bands": f"WITH {_REG}, {_VERDICTS} SELECT binding, band, count(*) AS n, count(*) FILTER (overdue) AS overdue FROM v GROUP BY ALL",
     "k_strength": f"""WITH {_REG}, s AS (SELECT *, CASE WHEN algorithm_class = 'symmetric' THEN key_size_bits WHEN coalesce(key_size_bits, 0) = 0 THEN NULL

@@ -46,6 +46,23 @@ def x_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reg.delta_counts(x_delta(spark, sf_dir))
 
 
+def x_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of assets that changed between consecutive scans, before and after."""
+    return reg.asset_changes(_current(spark, sf_dir), consecutive_scans(table(spark, sf_dir, "scan_summary")))
+
+
+def x_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the bands of consecutive summaries moved."""
+    return reg.band_movement(table(spark, sf_dir, "scan_summary"))
+
+
+def g_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of all scans, the newest first."""
+    scans = table(spark, sf_dir, "scan_summary").dropDuplicates(["scan_id"])
+    bands = [F.coalesce(F.element_at("risk_distribution", F.lit(b)), F.lit(0)).alias(b.lower()) for b in reg.BANDS]
+    return scans.select("scan_id", "target_name", "created_at", "total_artefacts", *bands, "overdue_artefacts", "files_scanned", "quantum_readiness_score").orderBy(F.desc("created_at"), "scan_id")
+
+
 def g_own(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of one installation's scans with the label of their score."""
     scans = table(spark, sf_dir, "scan_summary").filter("installation_id = 'inst-00001'").dropDuplicates(["scan_id"])
@@ -88,6 +105,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j_urgent": _over(lambda rows: rows.filter(F.col("risk_category").isin("Critical", "High")).orderBy(reg.risk_rank(F.col("risk_category")), F.col("occurrence_count").desc(), "scan_id", "artefact_id").limit(10).select(*SHOWN)),
     "m_waves": _over(lambda rows: reg.waves(rows, TODAY)),
     "x_delta": x_delta,
+    "x_parameters": x_parameters,
+    "x_bands": x_bands,
+    "g_summaries": g_summaries,
+    "m_long_lead": _over(reg.long_lead),
+    "j_histogram": _over(lambda rows: rows.groupBy("quantum_vulnerability").agg(F.count("*").alias("n")).filter("quantum_vulnerability is not null").orderBy(F.array_position(F.array(*map(F.lit, reg.STATUSES)), F.col("quantum_vulnerability")))),
     "x_counts": x_counts,
     "j_inventory": _over(lambda rows: reg.inventory_filter(rows, "Vault", type="algorithm").select(*SHOWN)),
     "j_wave_members": _over(lambda rows: reg.wave_members(rows, TODAY).select("scan_id", "wave", "place", "artefact_id")),
@@ -126,7 +148,25 @@ d AS (
     a.occ - b.occ AS occurrence_delta, a.rank AS rank_now, b.rank AS rank_then
   FROM a FULL JOIN b ON a.sid = b.sid AND a.fam = b.fam AND a.ty = b.ty AND a.path = b.path)"""
 
+_PAIRS = """
+s AS (SELECT DISTINCT scan_id, installation_id, target_name, created_at FROM scan_summary),
+p AS (SELECT scan_id, lag(scan_id) OVER (PARTITION BY installation_id, target_name ORDER BY created_at, scan_id) AS prev FROM s),
+v AS (
+  SELECT DISTINCT ON (scan_id, fam, ty, path) scan_id, coalesce(algorithm_family, '') AS fam, coalesce(type, '') AS ty, replace(trim(coalesce(location, '')), '\\', '/') AS path, artefact_id, key_size_bits AS size, trim(coalesce(curve, '')) AS cu, name, risk_category AS band, occurrence_count AS occ
+  FROM reg ORDER BY scan_id, fam, ty, path, artefact_id DESC),
+m AS (SELECT a.scan_id, a.fam, a.ty, a.path, b.size AS s0, a.size AS s1, b.cu AS c0, a.cu AS c1, b.name AS n0, b.band AS b0, a.occ - b.occ AS od FROM v a JOIN p ON p.scan_id = a.scan_id JOIN v b ON b.scan_id = p.prev AND b.fam = a.fam AND b.ty = a.ty AND b.path = a.path)"""
+
 ORACLE_SQL = {
+    "x_parameters": f"""WITH {_REG}, {_PAIRS}
+      SELECT scan_id, fam AS algorithm_family, ty AS type, path, 'key_size_bits' AS parameter, s0::VARCHAR AS before, s1::VARCHAR AS after, n0 AS previous_name, b0 AS previous_risk_category, od AS occurrence_delta FROM m WHERE s0 IS DISTINCT FROM s1
+      UNION ALL SELECT scan_id, fam, ty, path, 'curve', c0, c1, n0, b0, od FROM m WHERE c0 <> c1""",
+    "x_bands": """WITH s AS (SELECT DISTINCT ON (scan_id) * FROM scan_summary),
+      q AS (SELECT *, lag(scan_id) OVER w AS prev_scan_id, lag(risk_distribution) OVER w AS pd, lag(quantum_readiness_score) OVER w AS ps FROM s WINDOW w AS (PARTITION BY installation_id, target_name ORDER BY created_at, scan_id)),
+      b AS (SELECT *, unnest(list_distinct(list_concat(coalesce(map_keys(risk_distribution), []), coalesce(map_keys(pd), [])))) AS band FROM q WHERE prev_scan_id IS NOT NULL)
+      SELECT scan_id, prev_scan_id, band, (coalesce(risk_distribution[band], 0) - coalesce(pd[band], 0))::INT AS movement, round((quantum_readiness_score - ps)::DECIMAL(20, 6), 1)::DOUBLE AS readiness_delta FROM b""",
+    "g_summaries": "SELECT DISTINCT scan_id, target_name, created_at, total_artefacts, " + ", ".join(f"coalesce(risk_distribution['{b}'], 0)::INT AS {b.lower()}" for b in ("Critical", "High", "Medium", "Low")) + ", overdue_artefacts, files_scanned, quantum_readiness_score FROM scan_summary",
+    "m_long_lead": f"WITH {_REG}, c AS (SELECT scan_id, max(migration_time_y) AS critical_path FROM reg GROUP BY scan_id) SELECT scan_id, artefact_id, migration_time_y, critical_path FROM reg JOIN c USING (scan_id) WHERE migration_time_y >= 1.0",
+    "j_histogram": f"WITH {_REG} SELECT quantum_vulnerability, count(*) AS n FROM reg WHERE quantum_vulnerability IS NOT NULL GROUP BY ALL",
     "g_filter": f"WITH {_REG} SELECT {_SHOWN} FROM reg WHERE is_overdue AND quantum_vulnerability = 'fully_broken' AND risk_category = 'High'",
     "g_search": f"WITH {_REG} SELECT {_SHOWN} FROM reg WHERE contains(lower(coalesce(name, '') || ' ' || coalesce(algorithm_family, '') || ' ' || coalesce(location, '') || ' ' || coalesce(system_name, '') || ' ' || coalesce(purl, '') || ' ' || artefact_id), 'wallet')",
     **{f"g_page_{k}": f"WITH {_REG} SELECT {_SHOWN} FROM reg ORDER BY {v}, scan_id, artefact_id LIMIT 50 OFFSET 100" for k, v in _PAGE.items()},
