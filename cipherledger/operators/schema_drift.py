@@ -96,8 +96,15 @@ def entries(records: DataFrame) -> DataFrame:
     return opened.select("feed_name", "file_name", "entity", "exported_at", "line_no", name.alias("name"), canonical_field(F.col("entity"), name).alias("field"), kind.alias("kind"), value.alias("value"))
 
 
+#: Lines of a file that stay together when exact copies are removed, so that their statistics are added up where they are.
+BLOCK_LINES = 5000
+
+
 def _once(records: DataFrame) -> DataFrame:
-    return records.select("feed_name", "file_name", "entity", "exported_at", "line_no", "payload").dropDuplicates()
+    """The records without exact copies, by file and block of lines; lines without a number are spread by their payload."""
+    line = F.coalesce(F.col("line_no").cast("long"), F.pmod(F.xxhash64("payload"), F.lit(2**20)))
+    placed = records.select("feed_name", "file_name", "entity", "exported_at", "line_no", "payload", F.floor(line / BLOCK_LINES).alias("_block"))
+    return placed.repartition("file_name", "_block").dropDuplicates().drop("_block")
 
 
 #: Cells of a value signature: each keeps the smallest hash of the distinct values that fall into it.
