@@ -267,7 +267,7 @@ def _statistics_of(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     stats = cut_lineage(path_statistics(records).withColumn("field", F.when(F.col("name").isNotNull(), canonical_field(F.col("entity"), F.col("name")))))
     steps = _steps(stats)
     forms = file_forms(stats.filter("path is null or name is not null"), "field")
-    return stats, steps, _compared(forms, steps, "field")
+    return stats, steps, cut_lineage(_compared(forms, steps, "field"))
 
 
 def drift(records: DataFrame) -> DataFrame:
