@@ -44,6 +44,7 @@ VENDOR_MARK = re.compile(r"\(c\) \d{4}[^\n]* Authors|this file is part of|releas
 GENERATED_PATH = re.compile(r"(?:^|/)(?:build/gen|generated|gen-src|__generated__|autogen)/|\.designer\.\w+$|_pb2(?:_grpc)?\.py$|\.pb\.(?:go|cc|h)$|\.g\.(?:cs|dart)$", re.I)
 VENDOR_PATH = re.compile(r"(?:^|/)(?:node_modules|third[_-]?party|externals?|bower_components|site-packages|Pods)/|(?:^|/)vendor/[\w.@-]+?-v?\d+(?:\.\d+)+/|(?:^|/)vendor/(?:github\.com|golang\.org)/", re.I)
 MINIFIED_PATH = re.compile(r"\.min\.(?:js|css)$|\.bundle\.js$|\.chunk\.js$", re.I)
+SHEET = re.compile(r"\.(?:css|scss|less)$", re.I)
 CONFIG = re.compile(r"\.(?:json|ya?ml|env|properties|toml|ini|cfg|conf|xml)$", re.I)
 
 
@@ -125,21 +126,22 @@ def file_traits(content: str, path: str) -> dict:
     number_of: dict[str, int] = {}
     ids: list[int] = []
     literal, names, name_len = [], 0, 0
-    for m in TOKEN.finditer(content):
-        kind, token = m.lastindex, m.group()
-        if kind == 3:
+    for text, number, name, other in TOKEN.findall(content):
+        if name:
             names += 1
-            name_len += len(token)
-            if len(token) >= 40:
-                literal.append(token)
-                token = "S"
-            elif not token.isalpha():
-                token = DIGITS.sub("0", token)
-        elif kind < 3:
-            literal.append(token)
-            token = "S" if kind == 1 else "0"
-        ids.append(number_of.setdefault(token, len(number_of)))
-    left, rules, uses = re_pair(np.array(ids, dtype=np.int64))
+            name_len += len(name)
+            if len(name) >= 40:
+                literal.append(name)
+                other = "S"
+            else:
+                other = name if name.isalpha() else DIGITS.sub("0", name)
+        elif text:
+            literal.append(text)
+            other = "S"
+        elif number:
+            literal.append(number)
+            other = "0"
+        ids.append(number_of.setdefault(other, len(number_of)))
     lines = content.splitlines() or [""]
     lead: list[str] = []
     for line in lines:
@@ -149,10 +151,15 @@ def file_traits(content: str, path: str) -> dict:
             break
         lead.append(line)
     head = "\n".join(lead)
-    solid = re.sub(r"\s+", "", content)
-    literals = "".join(literal)
-    long_run = sum(len(x) for x in re.findall(r"[A-Za-z0-9+/=]{50,}", content))
-    packed = literals if len(literals) >= long_run else "".join(re.findall(r"[A-Za-z0-9+/=]{50,}", content))
+    solid = "".join(content.split())
+    literals, runs = "".join(literal), "".join(re.findall(r"[A-Za-z0-9+/=]{50,}", content))
+    long_run = len(runs)
+    packed = literals if len(literals) >= long_run else runs
+    generated = bool(GENERATED_MARK.search(head)) or bool(GENERATED_PATH.search(path))
+    minified, config, sheet = bool(MINIFIED_PATH.search(path)), bool(CONFIG.search(path)), bool(SHEET.search(path))
+    # the grammar tells whether a file is generated, which is settled for marked files and never asked of others
+    settled = generated or minified or config or sheet
+    left, rules, uses = (len(ids), 0, 0) if settled else re_pair(np.array(ids, dtype=np.int64))
     share = min(1.0, max(len(literals), long_run) / max(1, len(solid)))
     return {
         "tokens": len(ids),
@@ -164,11 +171,12 @@ def file_traits(content: str, path: str) -> dict:
         "mean_line": len(content) / len(lines),
         "blank_share": 1 - len(solid) / max(1, len(content)),
         "name_chars": name_len / names if names else 0.0,
-        "generated_mark": bool(GENERATED_MARK.search(head)) or bool(GENERATED_PATH.search(path)),
+        "generated_mark": generated,
         "vendor_mark": bool(VENDOR_MARK.search(head)) or bool(VENDOR_PATH.search(path)),
         "licence_mark": bool(LICENCE_MARK.search(head)),
-        "minified_mark": bool(MINIFIED_PATH.search(path)),
-        "config": bool(CONFIG.search(path)),
+        "minified_mark": minified,
+        "config": config,
+        "sheet": sheet,
     }
 
 
@@ -194,8 +202,7 @@ def file_table(files: DataFrame) -> DataFrame:
             for file_id, repo, path, content in zip(batch["file_id"], batch["repo"], batch["path"], batch["content"]):
                 lines = content.splitlines()
                 rules = [(h - (1 << 64) if h >= 1 << 63 else h, n) for h, n in passages(lines) if n >= LEAST_LINES]
-                sheet = path.lower().endswith((".css", ".scss", ".less"))
-                rows.append({"file_id": file_id, "repo": repo, **file_traits(content, path), "sheet": sheet, "n_lines": sum(len("".join(x.split())) > 2 for x in lines), "rules": [{"rule": h, "lines": n} for h, n in rules]})
+                rows.append({"file_id": file_id, "repo": repo, **file_traits(content, path), "n_lines": sum(len("".join(x.split())) > 2 for x in lines), "rules": [{"rule": h, "lines": n} for h, n in rules]})
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRAITS.split(", ")[:19]])
 
     empty = F.lit("")
