@@ -23,7 +23,7 @@ from cipherledger.functions.scale import cut_lineage, spread
 LEVELS = 4
 #: Graded documents that the regression is fitted to, at most (those with the smallest hash of their id).
 FIT_DOCUMENTS = 3000
-#: Graded documents longer than this are not fitted to, so what the driver holds is bounded: FIT_DOCUMENTS * FIT_CHARS.
+#: Of those, documents longer than this are not fitted to, so what the driver holds is bounded: FIT_DOCUMENTS * FIT_CHARS.
 FIT_CHARS = 20_000
 #: Rarity ends here: words that are rarer among all words count as this rare. No more than 1 / RAREST words can be more frequent.
 RAREST = 2e-6
@@ -225,8 +225,8 @@ def train(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCU
     """
     rarity = word_rarity(word_counts(documents), rarest)
     graded = labels.filter(F.col("reading_level").between(1, LEVELS)).groupBy("doc_id").agg(F.round(F.avg("reading_level") - 1e-6).cast("int").alias("level"))
-    short = _english_prose(documents).filter(F.length("text") <= fit_chars)
-    rows = short.join(graded, "doc_id").dropDuplicates(["doc_id"]).orderBy(_hash_order(F.col("doc_id")), "doc_id").limit(fit_documents).collect()
+    chosen = graded.orderBy(_hash_order(F.col("doc_id")), "doc_id").limit(fit_documents)  # ids alone are ordered, no texts
+    rows = _english_prose(documents).filter(F.length("text") <= fit_chars).join(chosen, "doc_id").dropDuplicates(["doc_id"]).collect()
     docs, texts, y = [], [], []
     for r in sorted(rows, key=lambda r: r.doc_id):
         text = prose(r.text)
