@@ -46,3 +46,11 @@ def test_listing(spark):
     )
     empty = spark.createDataFrame([], "file_id long, scan_id string, size_bytes long, file_path string")
     assert det.coverage(empty).count() == 0
+
+
+def test_depth_and_routing(spark):
+    deep = lambda n: "/".join(["d"] * n + ["a.py"])
+    files = spark.createDataFrame([(1, "s", 5, deep(24)), (2, "s", 5, deep(25)), (3, "s", 5, None)], "file_id long, scan_id string, size_bytes long, file_path string")
+    assert [(r.file_id, r.verdict) for r in det.listing(files).orderBy("file_id").collect()] == [(1, "scanned"), (2, "pruned")]
+    scans = spark.createDataFrame([("a", ["source_code", "binary"], 1), ("a", ["source_code", "binary"], 1), ("b", ["multi_target", "binary"], 1), ("c", None, 1), ("d", ["else"], 1), (None, ["binary"], 1)], "scan_id string, target_types array<string>, seq int")
+    assert sorted((r.scan_id, r.scanner, r.seq) for r in det.routed(scans).collect()) == [("a", "binary", 2), ("a", "certificate", 5), ("a", "source", 1), ("b", "binary", 2), ("b", "certificate", 5), ("b", "container", 4), ("b", "dependency", 3), ("b", "source", 1)]

@@ -94,3 +94,36 @@ def test_findings_are_bound_whatever_the_key_length(spark):
 def test_empty(spark):
     empty = inv.normalise(table(spark))
     assert empty.count() == inv.aggregate(empty, ["scan_id"]).count() == inv.merge_scans(empty).count() == inv.nearest_above(table(spark)).count() == 0
+
+
+APPLIED = ("id", "detected_name", "version_or_mode", "key_length", "curve_name", "key_binding", "replaced_name", "replaced_key_length", "replaced_curve")
+
+
+def test_findings_are_applied_in_order(spark):
+    data = [
+        evidence("a1", "Legacy-Cipher", key=56, line=10), evidence("a2", "RSA", line=10), evidence("f1", "AES-256/GCM", line=10, detector="taint"), evidence("f2", "no family", key=192, line=10, detector="taint"),
+        evidence("b1", "Unresolved-Algorithm", curve="P-256", line=20), evidence("f3", "?", curve="secp384r1", line=20, detector="regex+taint"),
+        evidence("c1", "RSA", key=1024, line=30), evidence("f4", "RSA", key=4096, line=33, detector="taint"), evidence("f5", "RSA", key=3072, line=32, detector="taint", path=".\\a.py"),
+        evidence("d1", "AES", line=50), evidence("f6", None, line=50, detector="taint"), evidence("n1", "AES", line=None), evidence("x1", "X509-Certificate", line=10, path="b.py"), evidence("f7", "AES", line=10, path="b.py", detector="taint"),
+    ]
+    assert rows(inv.apply_findings(table(spark, *data)), *APPLIED) == [
+        ("a1", "AES", "GCM", 192, None, "direct", "Legacy-Cipher", 56, None),
+        ("b1", "ECC", None, None, "secp384r1", None, "Unresolved-Algorithm", None, "P-256"),
+        ("c1", "RSA", None, 4096, None, "nearest-generator", None, 1024, None),
+    ]
+    assert inv.apply_findings(table(spark)).count() == inv.added_findings(table(spark)).count() == 0
+
+
+def test_findings_without_a_record_are_evidence_of_their_own(spark):
+    data = [
+        evidence("r", "AES", line=10), evidence("f1", "AES-CBC", key=128, line=14, detector="taint"), evidence("f2", "mystery", key=64, curve="P-521", line=40, detector="taint"), evidence("f3", "RSA", key=2048, line=40, detector="taint"),
+        evidence("f3", "RSA", key=2048, line=40, detector="taint"), evidence("f4", None, line=90, detector="taint"), evidence("f5", "RSA", line=None, detector="taint"),
+    ]
+    assert rows(inv.added_findings(table(spark, *data)), "finding_id", "param", "detected_name", "version_or_mode", "key_length", "curve_name") == [
+        ("f1", "algorithm", "AES", "CBC", None, None), ("f2", "curve", "ECC", None, None, "P-521"), ("f3", "algorithm", "RSA", None, None, None), ("f3", "key_size", "RSA", None, 2048, None),
+    ]
+
+
+def test_ecosystems(spark):
+    urls = spark.createDataFrame([("pkg:npm/a@1",), ("pkg:cargo/b",), ("pkg:deb/c",), ("npm/a",), (" ",), (None,)], "u string")
+    assert [r[0] for r in urls.select(inv.ecosystem(F.col("u"))).collect()] == ["npm", "crates.io", None, None, None, None]

@@ -117,3 +117,22 @@ def test_empty(spark):
     for out in (reg.current(t), reg.page(t), reg.facets(t), reg.readiness(t, ["scan_id"]), reg.rollup(t, "2026-01-01"), reg.scan_delta(t, pairs), reg.waves(t, "2026-01-01"), ass.verdicts(t, "2026-01-01")):
         assert out.count() == 0
     assert rows(reg.page_counts(t), "total", "total_pages") == [(0, 1)]
+
+
+def test_parameter_changes_between_scans(spark):
+    pairs = spark.createDataFrame([("t", "s"), ("s", None)], "scan_id string, prev_scan_id string")
+    old = [dict(artefact_id="1", location="a\\b", key_size_bits=2048), dict(artefact_id="2", location="c", key_size_bits=None, curve=" "), dict(artefact_id="3", location="d"), dict(artefact_id="4", location="gone")]
+    new = [dict(artefact_id="1", location="a/b", key_size_bits=1024, curve="P-256", occurrence_count=3), dict(artefact_id="2", location="c", key_size_bits=256), dict(artefact_id="3", location="d", name="x"), dict(artefact_id="5", location="new")]
+    got = rows(reg.asset_changes(table(spark, *old, *[{**d, "scan_id": "t"} for d in new]), pairs), "path", "parameter", "before", "after", "occurrence_delta")
+    assert got == [("a/b", "curve", "", "P-256", 2), ("a/b", "key_size_bits", "2048", "1024", 2), ("c", "key_size_bits", None, "256", 0)]
+    assert reg.asset_changes(table(spark), pairs).count() == 0
+
+
+def test_band_movement_and_long_lead(spark):
+    schema = "scan_id string, installation_id string, target_name string, created_at timestamp_ntz, risk_distribution map<string,int>, quantum_readiness_score double"
+    day = dt.timedelta(days=1)
+    scans = spark.createDataFrame([("a", None, "t", T, {"High": 2, "Low": 1}, 50.0), ("b", None, "t", T + day, {"High": 1, "Critical": 4}, 47.25), ("b", None, "t", T + day, {"High": 1, "Critical": 4}, 47.25), ("c", "i", "t", T, None, None), ("d", "i", "t", T + day, None, 1.0)], schema)
+    assert rows(reg.band_movement(scans), "scan_id", "band", "movement", "readiness_delta") == [("b", "Critical", 4, -2.8), ("b", "High", -1, -2.8), ("b", "Low", -1, -2.8)]
+    t = table(spark, dict(artefact_id="1", migration_time_y=0.9), dict(artefact_id="2", migration_time_y=1.0), dict(artefact_id="3", migration_time_y=2.5), dict(artefact_id="4", migration_time_y=None))
+    assert rows(reg.long_lead(t), "artefact_id", "migration_time_y", "critical_path") == [("2", 1.0, 2.5), ("3", 2.5, 2.5)]
+    assert reg.band_movement(scans.limit(0)).count() == reg.long_lead(t.limit(0)).count() == 0
