@@ -109,10 +109,9 @@ def item_passages(items: DataFrame) -> DataFrame:
     """item_id, passage, passage_id: each item's text without question and instructions; items of one passage share its id."""
     parts = cut_lineage(_item_sentences(items))
     kept = parts.join(instructions(parts), "key", "left_anti")
-    whole = kept.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "sentence"))).alias("p"))  # an item's own sentences
-    spoken = F.concat_ws(" ", F.transform("p", lambda x: x.sentence))
-    key = kept.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("k")).select("item_id", F.concat_ws(" ", F.transform("k", lambda x: x.key)).alias("k"))
-    return whole.select("item_id", spoken.alias("passage")).join(key, "item_id").select("item_id", "passage", F.xxhash64("k").alias("passage_id"))
+    whole = kept.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "key", "sentence"))).alias("p"))  # an item's own sentences
+    joined = lambda part: F.concat_ws(" ", F.transform("p", lambda x: x[part]))
+    return whole.select("item_id", joined("sentence").alias("passage"), F.xxhash64(joined("key")).alias("passage_id"))
 
 
 def _grams(ids: np.ndarray) -> np.ndarray:
