@@ -75,6 +75,37 @@ def capped(rows: DataFrame, cap: int = MATCH_CAP) -> DataFrame:
     return rows.orderBy("scan_id", "artefact_id").limit(cap).agg(F.count("*").alias("kept")).join(total).select("kept", (F.col("n") > cap).alias("results_capped"))
 
 
+def capped_page(rows: DataFrame, number: int = 1, size: int = 50, sort_by: str = "risk", cap: int = MATCH_CAP) -> DataFrame:
+    """One page of the first `cap` matches in the order of scan and artefact, sorted only then; results_capped tells whether there were more.
+
+    One row beyond the cap is read to tell that, so the matches are not counted.
+    """
+    first = rows.orderBy("scan_id", "artefact_id").limit(cap + 1)
+    place, every = Window.orderBy("scan_id", "artefact_id"), Window.partitionBy(F.lit(1))
+    kept = first.withColumn("_place", F.row_number().over(place)).withColumn("results_capped", F.count("*").over(every) > cap).filter(F.col("_place") <= cap).drop("_place")
+    return page(kept, number, size, sort_by)
+
+
+def file_name(path: Column) -> Column:
+    """The last part of a path, the path itself if that is empty; a dash where there is no path."""
+    p = slashed(path)
+    last = F.element_at(F.split(p, "/"), -1)
+    return F.when(F.coalesce(path, F.lit("")) == "", "\u2014").when(last == "", path).otherwise(last)
+
+
+def short_path(path: Column, most: int = 48) -> Column:
+    """A path of at most `most` characters, else as many of its first directories as leave room for the file name, an ellipsis and that name.
+
+    A file name that leaves no room stands whole behind the ellipsis; a dash where there is no path.
+    """
+    p = slashed(path)
+    last = F.element_at(F.split(p, "/"), -1)
+    room = F.lit(most - 4) - F.length(last)
+    directories = F.substr(p, F.lit(1), F.length(p) - F.length(last))
+    head = F.regexp_extract(F.substr(directories, F.lit(1), F.greatest(room, F.lit(0))), "^(.*/)", 1)
+    return F.when(F.coalesce(path, F.lit("")) == "", "\u2014").when(F.length(p) <= most, p).when(room <= 0, F.concat(F.lit("\u2026/"), last)).otherwise(F.concat(head, F.lit("\u2026/"), last))
+
+
 def facets(rows: DataFrame) -> DataFrame:
     """facet, value, n: distinct non-empty values of system, family and vulnerability, in one pass."""
     columns = ["system_name", "algorithm_family", "quantum_vulnerability"]
@@ -204,11 +235,37 @@ def delta_counts(delta: DataFrame) -> DataFrame:
     return delta.groupBy("scan_id", "bucket").agg(F.count("*").alias("n"), F.count_if(F.col("rank_now") == 3).alias("critical"))
 
 
+def delta_groups(delta: DataFrame) -> DataFrame:
+    """scan_id, position, label, n: the groups of a scan's comparison that hold assets, in the order they are shown; unchanged ones have none."""
+    # Buckets and how they are called, in the order of display
+    shown = [("added", "New"), ("worsened", "Worse"), ("parameters_changed", "Changed"), ("improved", "Improved"), ("removed", "Removed")]
+    position = F.array_position(F.array(*[F.lit(b) for b, _ in shown]), F.col("bucket")).cast("int")
+    label = F.get(F.array(*[F.lit(name) for _, name in shown]), F.col("position") - 1)
+    return delta.groupBy("scan_id", "bucket").agg(F.count("*").alias("n")).withColumn("position", position).filter("position > 0").select("scan_id", "position", label.alias("label"), "n")
+
+
 def by_standard(rows: DataFrame) -> DataFrame:
     """Assets by target standard: how many, and the worst band."""
     return rows.filter("recommended_standard is not null").groupBy("recommended_standard").agg(F.count("*").alias("n"), F.min(risk_rank(F.col("risk_category"))).alias("worst_rank"))
 
 
+def wave_of(today: str) -> Column:
+    """Number of a row's migration wave by the years until it must start: 0 due, 1 under a year, 2 under three, 3 under five, 4 later."""
+    slack = F.round((F.datediff(F.to_date(F.substring("must_start_by", 1, 10)), F.to_date(F.lit(today))) / 365.2425).cast("decimal(20,8)"), 2)
+    return F.when(slack <= 0, 0).when(slack < 1, 1).when(slack < 3, 2).when(slack < 5, 3).otherwise(4)
+
+
+def wave_sequence(rows: DataFrame, today: str) -> DataFrame:
+    """scan_id, sequence, wave, artefact_id: every member of a scan's waves, the waves that have members numbered from 0.
+
+    Assets without a start date are in none. A scan has five waves at most, so what is joined back is small for each scan.
+    """
+    members = rows.filter("must_start_by is not null").select("scan_id", "artefact_id", wave_of(today).alias("wave"))
+    held = members.groupBy("scan_id").agg(F.array_sort(F.collect_set("wave")).alias("held"))
+    placed = salted_join(members, held, ["scan_id"], ["artefact_id"])
+    return placed.select("scan_id", (F.array_position("held", F.col("wave")) - 1).cast("int").alias("sequence"), "wave", "artefact_id")
+
+
 def waves(rows: DataFrame, today: str) -> DataFrame:
     """Migration waves: assets by slack until they must start, with bounds, sizes and shortfall.
 
@@ -216,9 +273,7 @@ def waves(rows: DataFrame, today: str) -> DataFrame:
     """
     day = F.to_date(F.lit(today))
     start, end = F.to_date(F.substring("must_start_by", 1, 10)), F.to_date(F.substring("must_complete_by", 1, 10))
-    slack = F.round((F.datediff(start, day) / 365.2425).cast("decimal(20,8)"), 2)
-    wave = F.when(slack <= 0, 0).when(slack < 1, 1).when(slack < 3, 2).when(slack < 5, 3).otherwise(4)
-    grouped = rows.filter("must_start_by is not null").withColumns({"wave": wave, "_s": start, "_e": end}).groupBy("scan_id", "wave")
+    grouped = rows.filter("must_start_by is not null").withColumns({"wave": wave_of(today), "_s": start, "_e": end}).groupBy("scan_id", "wave")
     out = grouped.agg(F.count("*").alias("assets"), F.greatest(F.min("_s"), day).alias("starts"), F.min("_e").alias("deadline"), F.max("migration_time_y").alias("longest_y"), *[F.count_if(F.col("risk_category") == b).alias(b.lower()) for b in BANDS])
     years = F.round((F.datediff("deadline", "starts") / 365.2425).cast("decimal(20,8)"), 2).cast("double")
     short = F.round((F.col("longest_y") - years).cast("decimal(20,8)"), 2).cast("double")
@@ -239,11 +294,8 @@ def inventory_filter(rows: DataFrame, search: str = "", **equal: str) -> DataFra
 
 def wave_members(rows: DataFrame, today: str, first: int = 20) -> DataFrame:
     """The `first` rows of each scan and migration wave, by band, then deadline; place counts from 1."""
-    day = F.to_date(F.lit(today))
-    slack = F.round((F.datediff(F.to_date(F.substring("must_start_by", 1, 10)), day) / 365.2425).cast("decimal(20,8)"), 2)
-    wave = F.when(slack <= 0, 0).when(slack < 1, 1).when(slack < 3, 2).when(slack < 5, 3).otherwise(4)
     order = Window.partitionBy("scan_id", "wave").orderBy(risk_rank(F.col("risk_category")), F.coalesce("must_complete_by", F.lit(FAR)), "artefact_id")
-    return rows.filter("must_start_by is not null").withColumn("wave", wave).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= first)
+    return rows.filter("must_start_by is not null").withColumn("wave", wave_of(today)).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= first)
 
 
 def nearest_horizon(scans: DataFrame, years: list[int]) -> DataFrame:

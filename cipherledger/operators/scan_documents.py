@@ -133,3 +133,27 @@ def scan_tables(documents: DataFrame) -> dict[str, DataFrame]:
         rows = own.groupBy("key", "part", "e1", F.col("e2").alias("pos")).agg(F.max("owner").alias("artefact_id"), *columns)
         out[table] = rows.select(F.col("key").alias("scan_id"), "artefact_id", "pos", *[F.col(c).try_cast(typed.get(c, "string")).alias(c) for c in names])
     return out
+
+
+ADVISORY_SHAPE = {"artefacts": [{"id": None, "known_vulnerabilities": [{"id": None, "summary": None, "severity": None, "fixed_version": None, "reference_url": None, "aliases": [None]}]}]}
+
+
+def bill_vulnerabilities(documents: DataFrame) -> DataFrame:
+    """The advisories of each scan's last readable document as the entries of a bill of materials, which point to their component.
+
+    scan_id, artefact_id, pos, bom_ref (artefact and advisory), id, url, description, aliases (in their order, without missing ones), severity,
+    rating (null where the severity is not known), recommendation (null without a fixed version). severity is the stated label, first letters
+    large; `See CVSS` for a vector; `Unknown` for none. Advisories without an id and those of artefacts without one are left out.
+    """
+    leaves = shred(last_readable(documents, "scan_id", "received_at", "document"), "scan_id", "document", ADVISORY_SHAPE, 3, wrapper="result")
+    prefix = "artefacts.known_vulnerabilities."
+    names = ["id", "summary", "severity", "fixed_version", "reference_url"]
+    own = owned(leaves, {"artefacts": OWNERS["artefacts"]}, [f"{prefix}{n}" for n in (*names, "aliases")]).filter((F.col("def") >= 2) & F.col("owner").isNotNull())
+    value_at = lambda n: F.max(F.when(F.col("path") == f"{prefix}{n}", F.nullif("value", F.lit(""))))
+    alias = F.when((F.col("path") == f"{prefix}aliases") & F.col("value").isNotNull() & (F.col("def") >= 3), F.struct("e3", "value"))
+    rows = own.groupBy("key", "owner", "e1", "e2").agg(*[value_at(n).alias(n) for n in names], F.array_sort(F.collect_list(alias)).alias("aliases")).filter("id is not null")
+    severity = F.when(F.col("severity").startswith("CVSS:"), "See CVSS").otherwise(F.coalesce(F.initcap("severity"), F.lit("Unknown")))
+    return rows.select(
+        F.col("key").alias("scan_id"), F.col("owner").alias("artefact_id"), F.col("e2").alias("pos"), F.concat_ws(":", "owner", "id").alias("bom_ref"), "id", F.coalesce("reference_url", F.lit("https://osv.dev")).alias("url"), F.col("summary").alias("description"),
+        F.col("aliases.value").alias("aliases"), severity.alias("severity"), F.when(severity != "Unknown", F.lower(severity)).alias("rating"), F.concat(F.lit("Upgrade to "), "fixed_version", F.lit(" or later.")).alias("recommendation"),
+    )
