@@ -70,10 +70,12 @@ def combined_walks(walks: DataFrame, scans: DataFrame) -> DataFrame:
     last_skipped_type is that of the newest scan which states one, of equals the larger scan id's. Nulls add nothing; repeated rows count once; scans without a
     walk count in scans only, walks of unknown scans not at all.
     """
-    seen = _scans(scans).select("scan_id", "_own", "created_at").join(walks.dropDuplicates(["scan_id"]).withColumn("_walked", F.lit(True)), "scan_id", "left")
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files_seen", "files_scanned", "files_skipped_size", "files_skipped_type", "dirs_pruned")]
+    counted, limits = ["files_seen", "files_scanned", "files_skipped_size", "files_skipped_type", "dirs_pruned"], ["hit_file_limit", "hit_depth_limit"]
+    walked = walks.select("scan_id", *counted, *limits, "finished_at", F.lit(True).alias("_walked")).dropDuplicates(["scan_id"])
+    seen = _scans(scans).select("scan_id", "_own", "created_at").join(walked, "scan_id", "left")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted]
     stated = F.when(F.col("files_skipped_type").isNotNull(), F.struct("created_at", "scan_id", "files_skipped_type"))
     out = seen.groupBy("_own").agg(
-        F.count("*").alias("scans"), F.count("_walked").alias("walks"), *sums, *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("hit_file_limit", "hit_depth_limit")], F.max("finished_at").alias("finished_at"), F.max(stated).getField("files_skipped_type").alias("last_skipped_type"),
+        F.count("*").alias("scans"), F.count("_walked").alias("walks"), *sums, *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in limits], F.max("finished_at").alias("finished_at"), F.max(stated).getField("files_skipped_type").alias("last_skipped_type"),
     )
     return out.select(F.when(F.col("_own") != "", F.expr("substring(_own, 2)")).alias("installation_id"), *out.columns[1:])
