@@ -320,9 +320,9 @@ def learned_names(records: DataFrame) -> DataFrame:
 
 
 def _text(value: Column, kind: Column) -> Column:
-    """The plain text of a JSON value: a text itself, a list's first element, an object's name."""
+    """The plain text of a JSON value: a text itself, a list's first element, an object's name; none of JSON's null."""
     inner = F.when(kind == "list", F.get_json_object(value, "$[0]")).when(kind == "object", F.coalesce(F.get_json_object(value, "$.model"), F.get_json_object(value, "$.name")))
-    return F.when(kind == "text", F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).when(kind.isin("list", "object"), inner).otherwise(value)
+    return F.when(kind == "text", F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).when(kind.isin("list", "object"), inner).when(kind != "null", value)
 
 
 def _date(value: Column, kind: Column) -> Column:

@@ -137,4 +137,38 @@ UNION ALL SELECT file_name, field_name, 'renamed' FROM c WHERE an <> bn
 UNION ALL SELECT file_name, field_name, 'retyped' FROM c WHERE ak <> bk
 """
 
-ORACLE_SQL = {"p2_found": _P2, "p4_found": _P4, "p6_found": _P6, **{name: _P6_PARTS + sql for name, sql in _P6_TABLES.items()}}
+_DATE = """CASE WHEN kind = 'object' THEN try_cast(printf('%04d-%02d-%02d', try_cast(v->>'$.year' AS INT), try_cast(v->>'$.month' AS INT), try_cast(v->>'$.day' AS INT)) AS DATE)
+  WHEN kind = 'number' AND regexp_full_match(txt, '[0-9]{8}') THEN try_strptime(txt, '%Y%m%d')::DATE
+  WHEN kind = 'number' THEN DATE '1970-01-01' + try_cast(txt AS INT)
+  WHEN regexp_matches(txt, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(txt[1:10] AS DATE)
+  WHEN regexp_full_match(txt, '[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}') THEN try_strptime(txt, '%d %b %Y')::DATE
+  WHEN regexp_full_match(txt, '[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}') THEN try_strptime(txt, '%d.%m.%Y')::DATE END"""
+_CASTS = {
+    "date": _DATE,
+    "boolean": "CASE WHEN lower(txt) IN ('true', 'yes', '1', 'y') THEN true WHEN lower(txt) IN ('false', 'no', '0', 'n') THEN false END",
+    "double": "try_cast(txt AS DOUBLE)",
+    "binding_model": "CASE WHEN kind = 'number' THEN ['mosca', 'probabilistic', 'regulatory', 'hndl'][try_cast(txt AS INT) + 1] ELSE lower(txt) END",
+    "sensitivity_profile": "CASE WHEN kind <> 'number' THEN lower(translate(txt, ' -', '__')) END",
+    "string": "CASE WHEN kind IN ('text', 'number', 'boolean') THEN txt END",
+}
+
+
+def _typed_sql(entity: str, fields: dict[str, str]) -> str:
+    """One row for each readable record of the entity with typed fields; its casts are written out here, not taken from the operator."""
+    named = " ".join(f"WHEN plain IN ({', '.join(repr(x.replace('_', '')) for x in [f, *OTHER_NAMES[entity].get(f, [])])}) THEN '{f}'" for f in fields)
+    casts = {f: _CASTS.get(f, _CASTS[wanted]) for f, wanted in fields.items()}
+    columns = ", ".join(f"max({c}) FILTER (field = '{f}') AS {f}" for f, c in casts.items())
+    failed = ", ".join(f"CASE WHEN max(kind) FILTER (field = '{f}') <> 'null' AND max({c}) FILTER (field = '{f}') IS NULL THEN '{f}' END" for f, c in casts.items())
+    return f"""
+WITH r AS (SELECT DISTINCT file_name, line_no, payload::JSON AS doc FROM raw_record WHERE entity = '{entity}' AND file_name IS NOT NULL AND json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT'),
+k AS (SELECT file_name, line_no, doc, unnest(CASE WHEN len(json_keys(doc)) > 0 THEN json_keys(doc) ELSE [NULL] END) AS name FROM r),
+e AS (SELECT file_name, line_no, name, lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) AS plain, json_extract(doc, '$."' || name || '"') AS v, json_type(doc, '$."' || name || '"') AS t FROM k),
+n AS (
+  SELECT *, CASE {named} END AS field, CASE WHEN t = 'VARCHAR' THEN 'text' WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t = 'OBJECT' THEN 'object' WHEN t = 'ARRAY' THEN 'list' WHEN t = 'NULL' THEN 'null' ELSE 'number' END AS kind,
+    CASE WHEN t = 'VARCHAR' THEN v->>'$' WHEN t = 'ARRAY' THEN v->>'$[0]' WHEN t = 'OBJECT' THEN coalesce(v->>'$.model', v->>'$.name') WHEN t = 'NULL' THEN NULL ELSE v::VARCHAR END AS txt FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY file_name, line_no, field ORDER BY name) AS place FROM n)
+SELECT file_name, line_no, {columns}, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed_casts FROM f WHERE place = 1 GROUP BY file_name, line_no
+"""
+
+
+ORACLE_SQL = {"p2_found": _P2, "p4_found": _P4, "p4_risk_table": _typed_sql("MoscaRiskAssessment", FIELDS["MoscaRiskAssessment"]), "p4_request_table": _typed_sql("ScanPathRequest", FIELDS["ScanPathRequest"]), "p6_found": _P6, **{name: _P6_PARTS + sql for name, sql in _P6_TABLES.items()}}

@@ -90,3 +90,8 @@ def test_paths_at_any_depth(spark):
     got = rows(path_drift(records(spark, [("1", one), ("2", two)])), "path", "change_kind")
     assert got == [("tags[]", "retyped"), ("tags[].k", "removed"), ("tags[].v", "added"), ("where.line", "retyped"), ("where.row", "added")]
     assert path_drift(records(spark, [])).count() == 0
+
+
+def test_json_null_is_no_text(spark):
+    got = typed_table(records(spark, [("1", [{"artefact_id": None, "binding_model": None, "is_overdue": None, "must_start_by": None}])]), "MoscaRiskAssessment").collect()
+    assert [(r.artefact_id, r.binding_model, r.is_overdue, r.must_start_by, r.failed_casts) for r in got] == [(None, None, None, None, [])]
