@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cipherledger.functions.scale import salted_join
+from cipherledger.operators.context import RETENTION_YEARS
+
 DAYS = 365.2425
 # Probability that a capable machine exists within so many years (low, high).
 CURVE = [(0.0, 0.00, 0.00), (5.0, 0.08, 0.15), (10.0, 0.28, 0.49), (15.0, 0.51, 0.70), (20.0, 0.70, 0.85), (30.0, 0.90, 0.97)]
@@ -135,3 +138,49 @@ def agility(assets: DataFrame) -> DataFrame:
 def agility_estate(assets: DataFrame, by: list[str]) -> DataFrame:
     """mean_score (one decimal), n and rigid of assets with a score, from agility()."""
     return assets.groupBy(*by).agg(F.round(F.avg("score").cast("decimal(20,6)"), 1).cast("double").alias("mean_score"), F.count("*").alias("n"), F.count_if(F.col("grade") == "Rigid").alias("rigid"))
+
+
+# What names a signature and what a key exchange; years a credential is trusted by type of asset, else 3.
+SIGNATURES = ["DSA", "ECDSA", "EDDSA", "ED25519", "ED448", "SIGN", "SIGNATURE", "ML-DSA", "SLH-DSA", "DILITHIUM", "SPHINCS", "FALCON", "RSA-PSS", "PSS"]
+EXCHANGES = ["DH", "ECDH", "X25519", "X448", "KEM", "ML-KEM", "KYBER", "KEY EXCHANGE", "KEYEXCHANGE", "ECIES"]
+VALIDITY = {"certificate": 1.5, "key": 3.0, "hardware_module": 10.0, "cloud_service": 2.0, "protocol": 3.0, "library": 3.0, "algorithm": 3.0}
+# Years a change takes by who owns the code (else 0.5) and by type of asset, factors, bounds.
+OWNED_YEARS = {"source_code": 0.25, "dependency": 0.75, "binary": 1.5, "container": 0.5, "multi_target": 0.5}
+TYPE_YEARS = {"protocol": 0.15, "certificate": 0.3, "key": 0.75, "cloud_service": 0.5, "hardware_module": 2.5}
+NEGOTIATION, COORDINATION = 1.2, {"Critical": 1.3, "High": 1.15}
+LEAST_YEARS, MOST_YEARS = 0.1, 6.0
+
+
+def _looked_up(values: dict[str, float], key: Column, other: float) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.coalesce(key, F.lit(""))), F.lit(other))
+
+
+def usage(assets: DataFrame) -> DataFrame:
+    """Adds crypto_usage: what an asset is for, the reading with the longer shelf life where that is open.
+
+    Hashes are for integrity; certificates, and what is named as a signature and not as a key exchange too, for authenticity;
+    then symmetric for confidentiality, asymmetric and protocols for key transport, else unknown. Null names hold no mark.
+    """
+    named = F.upper(F.concat_ws(" ", "algorithm_family", "name"))
+    marked = lambda marks: reduce(lambda a, b: a | b, [F.contains(named, F.lit(m)) for m in marks])
+    cls, kind = F.col("algorithm_class"), F.col("type")
+    use = F.when(cls == "hash", "integrity").when((kind == "certificate") | marked(SIGNATURES) & ~marked(EXCHANGES), "authenticity").when(cls == "symmetric", "confidentiality").when(cls.isin(ASYMMETRIC) | (kind == "protocol"), "key_transport").otherwise("unknown")
+    return assets.withColumn("crypto_usage", use)
+
+
+def risk_inputs(assets: DataFrame, scans: DataFrame) -> DataFrame:
+    """Adds crypto_usage, shelf_life_x and migration_time_y to an inventory's assets with scan_id.
+
+    X is how long a credential of the type is trusted for authenticity and integrity, else how long the scan's data are kept: its own years
+    where it states them, else its profile's (financial where it has none). Y is the slower of the years by owner and by type, times
+    factors for occurrences, negotiation, criticality and how the parameter is set, between 0.1 and 6 years. Assets of unknown
+    scans are kept with the profile financial; repeated scans count once.
+    """
+    kept = scans.filter("scan_id is not null").dropDuplicates(["scan_id"]).select("scan_id", F.coalesce("retention_override_years", _looked_up(RETENTION_YEARS, F.col("sensitivity_profile"), RETENTION_YEARS["financial"])).alias("_kept"))
+    rows = salted_join(usage(assets), kept, ["scan_id"], ["location"], "left")
+    x = F.when(F.col("crypto_usage").isin("authenticity", "integrity"), _looked_up(VALIDITY, F.col("type"), 3.0)).otherwise(F.coalesce("_kept", F.lit(RETENTION_YEARS["financial"])))
+    base = F.greatest(_looked_up(OWNED_YEARS, F.col("target_type"), 0.5), _looked_up(TYPE_YEARS, F.col("type"), 0.0))
+    sites = F.greatest(F.coalesce("occurrence_count", F.lit(1)), F.lit(1))
+    factors = [rounded(1 + 0.3 * F.log10(sites), 3), F.when(F.col("algorithm_class").isin(ASYMMETRIC), NEGOTIATION).otherwise(1.0), _looked_up(COORDINATION, F.col("business_criticality"), 1.0), F.when(F.col("parameter_source") == "dataflow", 0.9).when(F.col("parameter_source") == "literal", 1.2).otherwise(1.0)]
+    y = rounded(F.greatest(F.lit(LEAST_YEARS), F.least(F.lit(MOST_YEARS), reduce(lambda a, b: a * b, factors, base))))
+    return rows.withColumns({"shelf_life_x": x, "migration_time_y": y}).drop("_kept")

@@ -12,6 +12,8 @@ from cipherledger.functions.text import slashed
 
 # Parts of a path that make an asset consequential; families of algorithm names.
 SENSITIVE = ["auth", "authentication", "authorization", "payment", "payments", "billing", "banking", "ledger", "identity", "iam", "session", "secrets", "keystore", "keyvault", "kms", "hsm", "vault", "credentials", "signing", "tls", "pki"]
+# Years that data of each profile stay confidential.
+RETENTION_YEARS = {"session": 0.5, "general_business": 3.0, "financial": 7.0, "personal_data": 10.0, "health": 25.0, "government": 25.0, "national_security": 50.0}
 FAMILY_OF = {
     "aes": "AES", "aes-128": "AES", "aes-192": "AES", "aes-256": "AES", "aesgcm": "AES", "rijndael": "AES",
     "chacha20": "ChaCha20-Poly1305", "chacha20-poly1305": "ChaCha20-Poly1305",
@@ -80,9 +82,7 @@ def coverage_notes(walks: DataFrame) -> DataFrame:
 
 def effective_horizon(scans: DataFrame) -> DataFrame:
     """Per system: the smallest horizon of its scans, how many differ, and the profile kept longest. Repeated rows count once."""
-    # Years that data of each profile stays confidential
-    years = {"session": 0.5, "general_business": 3.0, "financial": 7.0, "personal_data": 10.0, "health": 25.0, "government": 25.0, "national_security": 50.0}
-    kept = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in years.items() for x in kv]), F.coalesce("sensitivity_profile", F.lit(""))), F.lit(0.0))
+    kept = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in RETENTION_YEARS.items() for x in kv]), F.coalesce("sensitivity_profile", F.lit(""))), F.lit(0.0))
     once = scans.dropDuplicates(["scan_id"])
     return once.groupBy("target_name").agg(
         F.coalesce(F.min("mosca_global_z"), F.lit(8.0)).alias("horizon"), F.count_distinct("mosca_global_z").alias("horizons"), F.max(F.struct(kept.alias("y"), F.col("sensitivity_profile").alias("p"))).getField("p").alias("profile"), F.count_distinct("sensitivity_profile").alias("profiles")

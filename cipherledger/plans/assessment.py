@@ -54,6 +54,12 @@ def r_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ass.verdicts(_current(spark, sf_dir), TODAY).select("scan_id", "artefact_id", "is_at_risk", "margin", "breach_likely")
 
 
+def r_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each asset of the inventory is for, how long it must hold and how long changing it takes."""
+    out = ass.risk_inputs(_inventory(spark, sf_dir), table(spark, sf_dir, "scan_summary"))
+    return out.select("scan_id", *inv.IDENTITY, "crypto_usage", "shelf_life_x", "migration_time_y")
+
+
 def q_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean agility score and rigid assets of each scan."""
     return ass.agility_estate(ass.agility(_inventory(spark, sf_dir)), ["scan_id"])
@@ -104,7 +110,7 @@ def e_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _current(spark, sf_dir).select("scan_id", "artefact_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("component"))
 
 
-QUERIES = {"r_verdicts": r_verdicts, "r_bands": r_bands, "k_strength": k_strength, "q_agility": q_agility, "q_estate": q_estate, "g_built": g_built, "u_gate": u_gate, "e_csv": e_csv, "e_register": e_register, "r_flags": r_flags, "q_scores": q_scores, "a_ordered": a_ordered, "e_components": e_components}
+QUERIES = {"r_verdicts": r_verdicts, "r_bands": r_bands, "k_strength": k_strength, "q_agility": q_agility, "q_estate": q_estate, "g_built": g_built, "u_gate": u_gate, "e_csv": e_csv, "e_register": e_register, "r_flags": r_flags, "r_inputs": r_inputs, "q_scores": q_scores, "a_ordered": a_ordered, "e_components": e_components}
 
 _DAY = f"DATE '{TODAY}'"
 
@@ -161,7 +167,18 @@ _INV = INVENTORY_SQL["a_aggregated"]
 _GRADE = "CASE WHEN score >= 70 THEN 'Agile' WHEN score >= 40 THEN 'Moderate' ELSE 'Rigid' END AS grade"
 _SIZE = "CASE WHEN key_size_bits >= 15360 THEN 256 WHEN key_size_bits >= 7680 THEN 192 WHEN key_size_bits >= 3072 THEN 128 WHEN key_size_bits >= 2048 THEN 112 ELSE 80 END"
 
+_INV_NAMED = _INV.replace("arg_min(quantum_vulnerability, id) AS quantum_vulnerability,", "arg_min(quantum_vulnerability, id) AS quantum_vulnerability, arg_min(name, id) AS name,")
+_INPUTS = f"""
+sc AS (SELECT DISTINCT ON (scan_id) scan_id, coalesce(retention_override_years, CASE sensitivity_profile WHEN 'session' THEN 0.5 WHEN 'general_business' THEN 3 WHEN 'personal_data' THEN 10 WHEN 'health' THEN 25 WHEN 'government' THEN 25 WHEN 'national_security' THEN 50 ELSE 7 END::DOUBLE) AS kept FROM scan_summary),
+u AS (
+  SELECT inv.*, kept, CASE WHEN algorithm_class = 'hash' THEN 'integrity' WHEN type = 'certificate' OR (regexp_matches(nm, 'DSA|ED25519|ED448|SIGN|DILITHIUM|SPHINCS|FALCON|PSS') AND NOT regexp_matches(nm, 'DH|X25519|X448|KEM|KYBER|KEY EXCHANGE|KEYEXCHANGE|ECIES')) THEN 'authenticity'
+      WHEN algorithm_class = 'symmetric' THEN 'confidentiality' WHEN algorithm_class IN ('asymmetric_factoring', 'asymmetric_discrete_log') OR type = 'protocol' THEN 'key_transport' ELSE 'unknown' END AS crypto_usage,
+    greatest(CASE target_type WHEN 'source_code' THEN 0.25 WHEN 'dependency' THEN 0.75 WHEN 'binary' THEN 1.5 ELSE 0.5 END::DOUBLE, CASE type WHEN 'protocol' THEN 0.15 WHEN 'certificate' THEN 0.3 WHEN 'key' THEN 0.75 WHEN 'cloud_service' THEN 0.5 WHEN 'hardware_module' THEN 2.5 ELSE 0 END::DOUBLE)
+      * {_r("1 + 0.3::DOUBLE * log10(occurrence_count)", 3)} * if(algorithm_class LIKE 'asymmetric%', 1.2::DOUBLE, 1.0::DOUBLE) * CASE business_criticality WHEN 'Critical' THEN 1.3 WHEN 'High' THEN 1.15 ELSE 1 END::DOUBLE * CASE parameter_source WHEN 'dataflow' THEN 0.9 WHEN 'literal' THEN 1.2 ELSE 1 END::DOUBLE AS y
+  FROM (SELECT *, upper(concat_ws(' ', algorithm_family, name)) AS nm FROM inv) AS inv LEFT JOIN sc USING (scan_id))"""
+
 ORACLE_SQL = {
+    "r_inputs": f"WITH inv AS ({_INV_NAMED}), {_INPUTS} SELECT scan_id, {', '.join(inv.IDENTITY)}, crypto_usage, CASE WHEN crypto_usage IN ('authenticity', 'integrity') THEN CASE type WHEN 'certificate' THEN 1.5 WHEN 'hardware_module' THEN 10 WHEN 'cloud_service' THEN 2 ELSE 3 END::DOUBLE ELSE coalesce(kept, 7.0::DOUBLE) END AS shelf_life_x, {_r('least(6.0::DOUBLE, greatest(0.1::DOUBLE, y))')} AS migration_time_y FROM u",
     "r_flags": f"WITH {_REG}, {_VERDICTS} SELECT scan_id, artefact_id, coalesce(x + y > z, false) AND NOT safe AS is_at_risk, {_r('z - (x + y)')} AS margin, coalesce(breach_high >= 0.5, false) AS breach_likely FROM v",
     "q_scores": f"WITH inv AS ({_INV}), {_AGILE} SELECT scan_id, round(avg(score)::DECIMAL(20, 6), 1)::DOUBLE AS mean_score, count(*) AS n, count(*) FILTER (score < 40) AS rigid FROM ag GROUP BY scan_id",
     "e_register": f"WITH {_REG} SELECT " + ", ".join(f"CASE WHEN {c} THEN 'YES' ELSE 'NO' END AS {c}" if c == "is_overdue" else f"coalesce({c}::VARCHAR, '') AS {c}" for c in REGISTER) + " FROM reg",
