@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,6 +10,8 @@ from cipherledger.functions.scale import shared_folder
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Folders of a register.
+BUCKETS = 64
 
 
 def evidence_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -52,29 +54,52 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/result")
 
 
-def register_upserts(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a register partitioned by scan_id up to date from a stream of register rows.
+def register_upserts(rows: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keeps a register up to date from a stream of register rows.
 
     A batch replaces whole scans: of those it delivers, the rows of the highest delivery_no, if it is not
-    below the one that is kept. Other scans stay untouched (dynamic partition overwrite). Rows that a
-    batch adds to the delivery already kept are merged with it; repeated rows count once.
+    below the one that is kept. Other scans keep their rows. Rows that a batch adds to the delivery
+    already kept are merged with it; repeated rows count once.
+
+    Scans lie in `buckets` folders by the hash of scan_id, so a register has no more folders and files than
+    that, however many scans it holds. A batch rewrites the buckets of its scans (dynamic partition overwrite);
+    a register keeps the number of buckets that it began with, any other is an error.
     """
     spark = rows.sparkSession
-
-    def replace(batch: DataFrame, _: int) -> None:
-        scans = batch.select("scan_id").filter("scan_id is not null").distinct()
-        try:
-            kept = spark.read.schema(batch.schema).parquet(path).join(scans, "scan_id", "left_semi")
-        except Exception as missing:  # nothing is kept before the first batch
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            kept = batch.limit(0)
-        both = batch.filter("scan_id is not null").unionByName(kept)
-        last = both.groupBy("scan_id").agg(F.max("delivery_no").alias("delivery_no"))
-        newest = both.join(last, ["scan_id", "delivery_no"]).select(*batch.columns).dropDuplicates(["scan_id", "_id"])
-        # the partitions that are read are replaced, so they are written aside first
-        aside = f"{shared_folder(spark)}/batch"
-        newest.write.parquet(aside)
-        spark.read.schema(batch.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path)
+    bucket = f"bucket_of_{buckets}"
+
+    def replace(batch: DataFrame, number: int) -> None:
+        # copies of the rows that the buckets held, complete before one is replaced: a batch that broke off begins again from them
+        before = f"{checkpoint}/kept/{number}"
+        both = batch.filter("scan_id is not null").withColumn(bucket, F.pmod(F.xxhash64("scan_id"), F.lit(buckets)).cast("int"))
+        there = _names(spark, path)
+        if any(not name.startswith((f"{bucket}=", "_", ".")) for name in there):
+            raise ValueError(f"the register in {path} isn't kept in {buckets} buckets")
+        copied = "_SUCCESS" in _names(spark, before)
+        if there and not copied:
+            touched = [r[0] for r in both.select(bucket).distinct().collect()]
+            spark.read.schema(both.schema).parquet(path).filter(F.col(bucket).isin(touched)).write.mode("overwrite").parquet(before)
+        if there or copied:
+            both = both.unionByName(spark.read.schema(both.schema).parquet(before))
+        # the rows of a bucket meet in one task, which writes one file
+        scan = Window.partitionBy(bucket, "scan_id").orderBy(F.col("delivery_no").desc_nulls_last(), "_id")
+        last = F.first("delivery_no").over(scan.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        repeated = F.lag(F.struct("_id")).over(scan).eqNullSafe(F.struct("_id"))
+        newest = both.repartition(bucket).withColumns({"_last": last, "_repeated": repeated}).filter("delivery_no = _last and not _repeated")
+        newest.select(*both.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(bucket).parquet(path)
+        for copies in (f"{before}/_SUCCESS", before):  # no longer whole, as soon as one is missing
+            _remove(spark, copies)
 
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(replace).trigger(availableNow=True).start()
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Files and folders in a folder, none where it is missing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
